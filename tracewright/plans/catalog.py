@@ -1,0 +1,15 @@
+"""Registry of the engine's own queries."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+FLAGSHIP = "shell_findings_by_rule"
+
+
+def queries() -> dict[str, Callable]:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
