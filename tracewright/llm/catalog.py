@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import ann, chat, mixing, packing, sharding, simhash, substring, toxicity, url_filter
+from tracewright.llm import ann, chat, hnsw, mixing, packing, sharding, simhash, substring, toxicity, url_filter
 from tracewright.llm.oracles import ORACLES
 
 URL_RULES = [
@@ -34,6 +34,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.95 or more and the smallest vec_id of its component."""
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest doc_id of its component."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -74,7 +79,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_packing, op2_toxicity, op4_simhash, op5_url_filter, op6_sharding, op7_ann, op8_chat_format, op9_mixing, op10_substring)
+    named = (op1_packing, op2_toxicity, op3_hnsw, op4_simhash, op5_url_filter, op6_sharding, op7_ann, op8_chat_format, op9_mixing, op10_substring)
     return {f.__name__: f for f in named}
 
 

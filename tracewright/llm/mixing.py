@@ -90,7 +90,7 @@ def plan(cells: dict[tuple[str | None, int], int], weights: tuple[int, ...], blo
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK_WORDS, most: int = MAX_PASSES, seed: int = SEED) -> DataFrame:
-    """Every row of `docs` (doc_id, text, source) with size, source_size, target, taken, and what is taken.
+    """Every row of `docs` (doc_id, text, source) as `row`, with size, source_size, target, taken, and what is taken.
 
     `passes` whole readings of a document are taken and, beyond them, the words from `head_from` up to `head_until`
     and from `tail_from` up to `tail_until` (counted from 0, either may be empty). Sources stand in code point order,
@@ -98,13 +98,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BL
     that repeat a doc_id are rows of their own. Ties in the seeded order fall to doc_id and a hash of the text. An
     empty table gives an empty table. What a source gets differs from its target by less than a block for each of its shards.
     """
-    rows = docs.select(*docs.columns, word_count(F.col("text")).alias("_size"))
+    known = [F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")]
+    rows = docs.select(*known, word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"))
     n = rows.count()
     shards = max(1, -(-n // ROWS_PER_SHARD))
-    order = F.xxhash64(F.lit(seed), "doc_id")
     shard = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(shards)).cast("int")
-    kept = rows.select(*docs.columns, "_size", shard.alias("_shard"), order.alias("_order"), F.xxhash64("text").alias("_tie"))
-    sums = kept.groupBy("source", "_shard").agg(F.sum("_size").alias("words")).limit(MAX_CELLS + 1).collect()
+    kept = rows.select("*", shard.alias("_shard"), F.xxhash64(F.lit(seed), "doc_id").alias("_order"))
+    sums = kept.groupBy("source", "_shard").agg(F.sum("size").alias("words")).limit(MAX_CELLS + 1).collect()
     if len(sums) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} sources times shards")
     cells = {(r.source, r._shard): r.words for r in sums}
@@ -117,13 +117,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BL
         cell = F.broadcast(cell)
     joined = kept.join(cell, F.col("source").eqNullSafe(F.col("_name")) & (F.col("_shard") == F.col("_part")))
     in_cell = Window.partitionBy("source", "_shard").orderBy("_order", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    placed = joined.withColumn("_until", F.sum("_size").over(in_cell))
-    return _taken(placed, docs.columns, seed)
+    placed = joined.withColumn("_until", F.sum("size").over(in_cell))
+    return _taken(placed, seed)
 
 
-def _taken(placed: DataFrame, columns: list[str], seed: int) -> DataFrame:
+def _taken(placed: DataFrame, seed: int) -> DataFrame:
     """Which words the run of quota words from a seeded start takes of each document of a circular shard."""
-    size, cell, until = (F.col(c) for c in ("_size", "_cell", "_until"))
+    size, cell, until = (F.col(c) for c in ("size", "_cell", "_until"))
     begin = until - size
     start = F.when(cell > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "source", "_shard"), F.when(cell > 0, cell))).otherwise(0)
     passes = F.when(cell > 0, F.expr("_quota div nullif(_cell, 0)")).otherwise(0).cast("long")
@@ -134,8 +134,10 @@ def _taken(placed: DataFrame, columns: list[str], seed: int) -> DataFrame:
         return F.greatest(F.lit(0), F.least(size, at - begin)).cast("long")
 
     out = walked.select(
-        *columns,
-        size.alias("size"),
+        "row",
+        "doc_id",
+        "source",
+        "size",
         "source_size",
         "target",
         F.col("_passes").alias("passes"),
@@ -150,14 +152,11 @@ def _taken(placed: DataFrame, columns: list[str], seed: int) -> DataFrame:
 
 def written_out(mix: DataFrame, columns: list[str]) -> DataFrame:
     """The mix as documents: a row for each whole reading and one for a part, whose words are joined by one space."""
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0))
     part_of = lambda a, b: F.slice(words, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int"))
-    whole = (F.col("tail_until") - F.col("tail_from") + F.col("head_until")) >= F.col("size")
-    part = F.when(whole & (F.col("size") > 0), F.col("text")).otherwise(F.array_join(F.concat(part_of("head_from", "head_until"), part_of("tail_from", "tail_until")), " "))
+    part = F.array_join(F.concat(part_of("head_from", "head_until"), part_of("tail_from", "tail_until")), " ")
     some = F.col("taken") > F.col("passes") * F.col("size")
-    texts = F.concat(F.array_repeat(F.col("text"), F.col("passes").cast("int")), F.when(some, F.array(part)).otherwise(F.array().cast("array<string>")))
-    rows = mix.where("taken > 0").select(*[c for c in columns if c not in ("text", "n_chars")], F.explode(texts).alias("text"))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*columns)
-
+    texts = F.concat(F.array_repeat(F.col("row.text"), F.col("passes").cast("int")), F.when(some, F.array(part)).otherwise(F.array().cast("array<string>")))
+    rows = mix.where("taken > 0").select("row", F.explode(texts).alias("_part"))
+    own = {"text": F.col("_part"), "n_chars": F.length("_part").cast("long")}
+    return rows.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
