@@ -20,7 +20,7 @@ from tracewright.scratch import stash
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
-MAX_TRAINING_ROWS = 60_000
+MAX_TRAINING_ROWS = 20_000
 MAX_FEATURES = 4096
 LEAST_Z = 5.0
 SMOOTHING = 4.0
