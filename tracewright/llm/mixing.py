@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_PASSES = 3
 BLOCK_WORDS = 16
-ROWS_PER_SHARD = 200_000
+ROWS_PER_SHARD = 20_000
 MAX_CELLS = 1_000_000
 SEED = 20
 
