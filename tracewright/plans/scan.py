@@ -86,7 +86,7 @@ def scan(files: DataFrame, advisories: DataFrame | None = None, claims: DataFram
     edges, unresolved = stash(edges, "edges"), stash(unresolved, "unresolved")
     of_files = stash(graph.nodes(files, edges), "nodes")
     structural = manifests.structure_scan(read).unionByName(manifests.unreferenced_code(files, of_files))
-    staged = [(CONTENT, content_findings(all_layers(read))), (STRUCTURE, structural), (REFERENCE, reference_findings(unresolved))]
+    staged = [(CONTENT, content_findings(stash(all_layers(read), "layers"))), (STRUCTURE, structural), (REFERENCE, reference_findings(unresolved))]
     if advisories is not None:
         staged.append((ADVISORY, manifests.advisory_scan(read, advisories)))
     raw = None
