@@ -164,6 +164,14 @@ def test_judgements_against_brute_force(spark):
         assert (r.host, r.path, r.rule, r.verdict) == brute_judge(urls[r.page_id if r.page_id is not None else 6], URL_RULES)
 
 
+def test_a_list_too_large_to_broadcast_is_joined(spark, monkeypatch):
+    urls = [None, "http://a.net/x", "http://example.net/en/y", "http://b.org/", "http://b.org/fr/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, urls[1])], "page_id long, url string")
+    want = sorted(map(str, url_filter.judged(pages, URL_RULES).collect()))
+    monkeypatch.setattr(url_filter, "MAX_BITS", 0)
+    assert sorted(map(str, url_filter.judged(pages, URL_RULES).collect())) == want
+
+
 def test_cascade_is_exact_for_its_universe(spark):
     keys = [f"host{i}.net/" for i in range(3000)]
     listed, universe = keys[::7], keys

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tracewright.llm import ann, chat, hnsw, mixing, packing, sharding, simhash, substring, toxicity, url_filter
 from tracewright.llm.oracles import ORACLES
 
@@ -78,8 +79,13 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline's last stage."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_packing, op2_toxicity, op3_hnsw, op4_simhash, op5_url_filter, op6_sharding, op7_ann, op8_chat_format, op9_mixing, op10_substring)
+    named = (op1_packing, op2_toxicity, op3_hnsw, op4_simhash, op5_url_filter, op6_sharding, op7_ann, op8_chat_format, op9_mixing, op10_substring, pipeline)
     return {f.__name__: f for f in named}
 
 

@@ -172,16 +172,16 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most
     return Model(place, weights, bias)
 
 
-def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """`columns` of `docs` and `score`, a number from 0 to 1 for each whole text. Null texts count as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scored(docs: DataFrame, model: Model, columns: list[str], name: str = "score") -> DataFrame:
+    """`columns` of `docs` and `name`, a number from 0 to 1 for each whole text. Null texts count as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of BUCKETS numbers
     kept = docs.select(*columns, F.col("text").alias("_scored"))
-    schema = kept.drop("_scored").schema.add("score", "double")
+    schema = docs.select(*columns).schema.add(name, "double")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = probabilities(batch.column(batch.num_columns - 1).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*columns, name])
 
     return kept.mapInArrow(per_batch, schema)
 

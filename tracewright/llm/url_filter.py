@@ -82,8 +82,6 @@ def _filter_of(keys: DataFrame, n: int, number: int, rate: float) -> Level:
     """A Bloom filter of `n` keys with the given rate of false positives, aggregated word by word on the executors."""
     hashes = max(1, math.ceil(-math.log2(rate)))
     bits = 64 * math.ceil(max(n * hashes / math.log(2), 64) / 64)
-    if bits > MAX_BITS:
-        raise ValueError(f"a cascade level of {bits} bits; at most {MAX_BITS} are broadcast")
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), number, bits, hashes))).alias("at"))
     rows = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits")).collect()
     words = [0] * (bits // 64)
@@ -92,18 +90,28 @@ def _filter_of(keys: DataFrame, n: int, number: int, rate: float) -> Level:
     return Level(bits, hashes, tuple(words))
 
 
+def _first_rate(n_in: int, n_out: int) -> float:
+    """The rate at which level 0 errs on about as many keys as it holds."""
+    return max(min(0.5, n_in / math.sqrt(2) / max(n_out, 1)) if n_in else 0.5, 1e-9)
+
+
+def _bits(n_in: int, n_out: int) -> int:
+    """About what the largest level takes."""
+    return math.ceil(n_in * math.ceil(-math.log2(_first_rate(n_in, n_out))) / math.log(2))
+
+
 def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
     """Levels over distinct keys (key) such that `member` is exact for every key of either table."""
     inside, outside = stash(listed.select("key").distinct(), "listed"), stash(universe.select("key").distinct().join(listed, "key", "left_anti"), "unlisted")
     n_in, n_out = inside.count(), outside.count()
     levels: list[Level] = []
     encoded, other, n = inside, outside, n_in
-    rate = min(0.5, n_in / math.sqrt(2) / max(n_out, 1)) if n_in else 0.5
+    rate = _first_rate(n_in, n_out)
     while n:
         if len(levels) == MAX_LEVELS:
             raise RuntimeError(f"a cascade of more than {MAX_LEVELS} levels")
         number = len(levels)
-        levels.append(_filter_of(encoded, n, number, max(rate, 1e-9)))
+        levels.append(_filter_of(encoded, n, number, rate))
         mistaken = stash(other.where(_holds(levels[-1], number, F.col("key"))), "mistaken")
         encoded, other, n, rate = mistaken, encoded, mistaken.count(), 0.5
     return levels
@@ -117,6 +125,15 @@ def member(levels: list[Level], key: Column) -> Column:
     return out
 
 
+def _joined(keyed: DataFrame, rules: list[Rule], default: str) -> DataFrame:
+    """The same judgement by a join on the keys, for lists whose cascade is too large to go to every executor."""
+    listed = keyed.sparkSession.createDataFrame([(r.key, r.shape[0], r.verdict) for r in rules], "rule string, labels int, decided string")
+    each = keyed.select("page_id", "host", "path", F.explode("keys").alias("rule")).where("rule is not null").distinct().join(listed, "rule")
+    best = each.groupBy("page_id", "host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), "labels", "rule", "decided")).alias("best"))
+    same = keyed.page_id.eqNullSafe(best.page_id) & (keyed.host == best.host) & (keyed.path == best.path)
+    return keyed.join(best, same, "left").select(keyed.page_id, keyed.host, keyed.path, F.col("best.rule").alias("rule"), F.coalesce("best.decided", F.lit(default)).alias("verdict"))
+
+
 def judged(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) per row of `pages` (page_id, url).
 
@@ -131,6 +148,8 @@ def judged(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataF
     keyed = parts.select("page_id", "host", "path", slot_keys(F.col("host"), F.col("path"), shapes).alias("keys")) if shapes else parts.select("page_id", "host", "path", F.array().cast("array<string>").alias("keys"))
     universe = stash(keyed.select(F.explode("keys").alias("key")).where("key is not null").distinct(), "universe")
     spark, found = pages.sparkSession, []
+    if _bits(len(rules), universe.count()) > MAX_BITS:
+        return _joined(keyed, rules, default)
     verdicts = sorted({r.verdict for r in rules})
     cascades = {v: build_cascade(spark.createDataFrame([(r.key,) for r in rules if r.verdict == v], "key string"), universe) for v in verdicts}
     for i, (labels, _) in enumerate(shapes):
