@@ -127,6 +127,14 @@ def test_calls():
     assert list(syntax.risky_calls("def (")) == []
 
 
+def test_a_failing_detector_is_told(monkeypatch):
+    def broken(source):
+        raise ValueError(source)
+
+    monkeypatch.setattr(syntax, "risky_calls", broken)
+    assert [(r["rule_id"], r["path"]) for r in syntax.layer_calls("x", {"path": "a.py"})] == [("SC-SCN1", "a.py")]
+
+
 def test_manifest_rules():
     deep = {"command": "x"}
     for _ in range(12):

@@ -56,6 +56,17 @@ def risky_calls(source: str) -> Iterator[tuple[str, str, str, float, ast.Call]]:
             yield "SC-C8", "obfuscation", "low", 0.3, node
 
 
+def layer_calls(source: str, layer: dict) -> list[dict]:
+    """Findings of one layer as rows. A layer on which the walk fails is told as one SC-SCN1 instead, and the others go on."""
+    try:
+        return [
+            layer | {"rule_ord": 0, "match_ord": i, "rule_id": rule_id, "capability": capability, "severity": severity, "confidence": confidence, "first": node.lineno, "last": node.end_lineno or node.lineno, "matched_text": (ast.get_source_segment(source, node) or "")[:EVIDENCE]}
+            for i, (rule_id, capability, severity, confidence, node) in enumerate(risky_calls(source))
+        ]
+    except Exception as error:  # whatever a hostile source provokes must not take down the scan
+        return [layer | {"rule_ord": 0, "match_ord": 0, "rule_id": "SC-SCN1", "capability": "unknown", "severity": "medium", "confidence": 1.0, "first": 1, "last": 1, "matched_text": f"code-ast failed: {type(error).__name__}"}]
+
+
 def syntax_scan(layers: DataFrame) -> DataFrame:
     """Findings of the call rules over the layers that are Python."""
 
@@ -63,10 +74,7 @@ def syntax_scan(layers: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                source = row.pop("text")
-                for i, (rule_id, capability, severity, confidence, node) in enumerate(risky_calls(source)):
-                    quoted = ast.get_source_segment(source, node) or ""
-                    rows.append(row | {"rule_ord": 0, "match_ord": i, "rule_id": rule_id, "capability": capability, "severity": severity, "confidence": confidence, "first": node.lineno, "last": node.end_lineno or node.lineno, "matched_text": quoted[:EVIDENCE]})
+                rows += layer_calls(row.pop("text"), row)
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     python = layers.where(F.col("lang") == "python").select("pkg_id", "path", "layer_ord", "text", "provenance", "line_offset", "anchor_line")

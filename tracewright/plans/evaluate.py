@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.scoring import TIERS
 from tracewright.operators.verdicts import LABELS, label_rank
 
+# The host and the seed of mutations.
 SWAPPED_HOST = "attacker-controlled-mirror.example.net"
 MUTATION_SEED = 1234
 
@@ -77,3 +79,9 @@ def mutations(texts: DataFrame) -> DataFrame:
 def status_rollup(ledger: DataFrame) -> DataFrame:
     """(status, bytes, files) over ledger entries."""
     return ledger.groupBy("status").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files"))
+
+
+def by_tier(findings: DataFrame) -> DataFrame:
+    """`findings` with the certain ones first, else as found."""
+    rank = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
+    return findings.orderBy("pkg_id", rank, "finding_ord")

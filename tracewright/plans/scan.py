@@ -66,8 +66,9 @@ def numbered(findings: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def failed_stages(findings: DataFrame) -> DataFrame:
-    """(pkg_id, stage) of manifests that could not be read."""
-    return findings.where(F.col("rule_id") == "SC-SCN1").select("pkg_id", F.concat(F.lit("structure-manifest:"), "path").alias("stage")).distinct()
+    """(pkg_id, stage) of manifests that could not be read and of detectors that failed on a file."""
+    name = F.when(F.col("detector") == "structure", F.lit("structure-manifest")).otherwise(F.col("detector"))
+    return findings.where(F.col("rule_id") == "SC-SCN1").select("pkg_id", F.concat(name, F.lit(":"), "path").alias("stage")).distinct()
 
 
 def integrity_findings(failed: DataFrame) -> DataFrame:
