@@ -148,11 +148,12 @@ def _found(docs: DataFrame, window: int, gram: int, with_text: bool) -> DataFram
     first = survey.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("ord").alias("first_ord"))
     copies = stash(survey.where(F.col("n_words") >= window).select("ord", "digest").join(first, "digest").where("ord > first_ord").select("ord", "digest").distinct(), "copies")
     grams = survey.where(F.size("anchors") > 0).join(copies, ["ord", "digest"], "left_anti").select("ord", "digest", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("ord", "digest", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
-    shared = grams.groupBy("anchor").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select("anchor")
+    # Written out, so that in the join below both sides are plain exchanges, which Spark splits where a key is hot.
+    shared = stash(grams.groupBy("anchor").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select("anchor"), "shared")
     seeds = grams.join(shared, "anchor").groupBy("ord", "digest").agg(F.collect_set("place").alias("seeds"))
     affected = stash(_identified(docs).join(seeds, ["ord", "digest"]).select("ord", "digest", "_text", "seeds"), "affected")
     windows = _windows(affected, window, gram)
-    earliest = windows.groupBy("h1", "h2").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select("h1", "h2", "low")
+    earliest = stash(windows.groupBy("h1", "h2").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select("h1", "h2", "low"), "earliest")
     repeated = windows.join(earliest, ["h1", "h2"]).where("ord > low").groupBy("ord", "digest").agg(F.collect_set("start").alias("starts"))
     cut = _cut(affected.select("ord", "digest", "_text").join(repeated, ["ord", "digest"]), window, with_text).dropDuplicates(["ord", "digest"])
     told = survey.select("doc_id", "ord", "digest", "n_words", "full_sha256")
