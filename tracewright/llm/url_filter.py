@@ -129,9 +129,9 @@ def _joined(keyed: DataFrame, rules: list[Rule], default: str) -> DataFrame:
     """The same judgement by a join on the keys, for lists whose cascade is too large to go to every executor."""
     listed = keyed.sparkSession.createDataFrame([(r.key, r.shape[0], r.verdict) for r in rules], "rule string, labels int, decided string")
     each = keyed.select("page_id", "host", "path", F.explode("keys").alias("rule")).where("rule is not null").distinct().join(listed, "rule")
-    best = each.groupBy("page_id", "host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), "labels", "rule", "decided")).alias("best"))
-    same = keyed.page_id.eqNullSafe(best.page_id) & (keyed.host == best.host) & (keyed.path == best.path)
-    return keyed.join(best, same, "left").select(keyed.page_id, keyed.host, keyed.path, F.col("best.rule").alias("rule"), F.coalesce("best.decided", F.lit(default)).alias("verdict"))
+    best = each.groupBy(F.col("page_id").alias("_page"), F.col("host").alias("_host"), F.col("path").alias("_path")).agg(F.max(F.struct(F.length("rule").alias("size"), "labels", "rule", "decided")).alias("best"))
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path"))
+    return keyed.join(best, same, "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.decided", F.lit(default)).alias("verdict"))
 
 
 def judged(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
