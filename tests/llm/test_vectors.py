@@ -126,6 +126,18 @@ def test_ties_odd_vectors_and_few_candidates(spark):
     assert ann.nearest(frame(spark, rows_of(ODD))).count() == 0
 
 
+def test_an_outlier_query_gets_all_its_rows(spark):
+    rng = np.random.default_rng(8)
+    center = rng.standard_normal(16)
+    vectors = [center + 1e-3 * rng.standard_normal(16) for _ in range(1000)]
+    vectors[20] = -center  # one query of 50, less than what the audit may miss
+    for n in (1000, 15):
+        got = ann.nearest(frame(spark, rows_of(vectors[:n]))).collect()
+        held = Counter(r.query_id for r in got)
+        assert held == {q: min(20, n - 1) for q in range(0, n, 20)}
+        assert all(len({r.vec_id for r in got if r.query_id == q}) == held[q] for q in held)
+
+
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(6)
     code = rng.integers(0, 256, (500, 4)).astype(np.uint8)

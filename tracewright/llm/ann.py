@@ -4,11 +4,14 @@ Vectors get binary codes from a learned rotation (principal directions of a boun
 little). A code is split into substrings, each indexed by its value. Two codes within Hamming radius r agree to within
 r // m bits on one of m substrings, so probing all values that close in every substring retrieves every code within
 the radius. Those are reranked by the inner product of the original vectors. The radius is the smallest at which
-audit queries, answered by brute force over all rows, reach the target recall.
+audit queries, answered by brute force over all rows, reach the target recall. Queries that find fewer than k rows
+within it are asked again with twice the radius, up to all bits, which leaves no candidate out.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -134,12 +137,25 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def widened(candidates: DataFrame, queries: DataFrame, radius: int, longest: float, projection: np.ndarray, k: int, least: int) -> DataFrame:
+    """The k best of each query within `radius`; those that hold fewer than `least` are asked again with twice the radius, up to all bits."""
+    bits, done = projection.shape[1], []
+    while True:
+        found = stash(ranked(search(candidates, queries, radius, longest, projection, k), k), "found")
+        whole = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("query_id")
+        short = stash(queries.join(whole, F.col("vec_id") == F.col("query_id"), "left_anti"), "short")
+        if radius >= bits or short.isEmpty():
+            return reduce(DataFrame.unionByName, done, found)
+        done.append(found.join(whole, "query_id", "left_semi"))
+        queries, radius = short, min(bits, 2 * max(radius, 1))
+
+
 def nearest(rows: DataFrame, every: int = EVERY, k: int = NEAREST, target: float = TARGET_RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows by inner product of each row whose vec_id `every` divides.
 
     Null, zero, non-finite and odd-length vectors and rows without vec_id take no part; of several rows with one vec_id
-    the smallest vector counts. Ties go to the smaller vec_id. A query with fewer candidates gets all that are found
-    within the radius. An empty table gives an empty table.
+    the smallest vector counts. Ties go to the smaller vec_id. A query with fewer candidates than k gets all of them.
+    An empty table gives an empty table.
     """
     vectors = stash(one_per_id(rows), "vectors")
     queries = vectors.where(F.col("vec_id") % every == 0)
@@ -155,5 +171,5 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = NEAREST, target: float
     projection = learn(lifted(sample, longest))
     audit = queries.orderBy(F.xxhash64(F.lit(5), "vec_id")).limit(AUDIT)
     true = ranked(search(vectors, audit, None, longest, projection, k), k).select("distance").toArrow().column(0).to_numpy()  # AUDIT * k rows
-    radius = int(np.sort(true)[min(len(true) - 1, int(np.ceil(target * len(true))) - 1)]) if n > 2 * k else projection.shape[1]
-    return ranked(search(vectors, queries, radius, longest, projection, k), k).select("query_id", "rank", "vec_id", "score")
+    radius = int(np.sort(true)[min(len(true) - 1, int(np.ceil(target * len(true))) - 1)])
+    return widened(vectors, queries, radius, longest, projection, k, min(k, n - 1)).select("query_id", "rank", "vec_id", "score")
