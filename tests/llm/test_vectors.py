@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tracewright.llm import ann, components, hnsw, url_filter
@@ -77,6 +78,18 @@ def test_links_and_components_against_brute_force(spark):
     assert got == brute_links(rows)
 
 
+@pytest.mark.parametrize("pairs", [150, 6])
+def test_links_are_whole_where_no_beam_passes_or_links_are_rare(spark, monkeypatch, pairs):
+    rng = np.random.default_rng(11)
+    rows = rows_of(clustered(rng, 400, 8, [(2, 0.01)] * pairs))
+    monkeypatch.setattr(hnsw, "AUDIT", 8)
+    monkeypatch.setattr(hnsw, "LEAST_LINKED", 20, raising=False)
+    answers = hnsw._answers
+    monkeypatch.setattr(hnsw, "_answers", lambda graphs, queries, shards, n, beam, least: answers(graphs, queries, shards, n, beam, least).where(F.lit(beam is None)))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_links(rows)
+
+
 def test_graph_finds_planted_neighbours():
     rng = np.random.default_rng(5)
     base = rng.standard_normal((1500, 64))

@@ -2,8 +2,9 @@
 
 Equal vectors are one class. Classes are dealt into shards, each with a graph of its own, and every class queries
 every shard. Queries walk a graph side by side, each with a beam of the best nodes seen. The beam is widened until an
-audit passes: classes drawn by a hash are answered by brute force, and at least TARGET of those with links must have
-found all of them. A query whose whole beam is linked has more links than its beam holds; it is answered by an exact
+audit passes: classes drawn by a hash, until LEAST_LINKED of them have links or none is left, are answered by brute
+force, and at least TARGET of those with links must have found all of them. Where no beam passes, or all classes were
+drawn, every class is answered by brute force. A query whose whole beam is linked has more links than its beam holds; it is answered by an exact
 scan of the shard in blocks. Links are verified by cosine in double precision. Each task hands on a spanning forest of
 its links, not the links, and the forests are united into components.
 """
@@ -11,6 +12,7 @@ its links, not the links, and the forests are united into components.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ BUILD_BEAM = 48
 BEAMS = (32, 64, 128, 256, 512)
 TARGET = 0.995
 AUDIT = 1024
+LEAST_LINKED = 200
+DRAWS = 1 << 30
 LEAST_SHARDS = 4
 VECTORS_PER_SHARD = 100_000
 QUERIES_PER_BLOCK = 20_000
@@ -270,6 +274,25 @@ def _recall(found: DataFrame, true: DataFrame) -> float:
     return whole / some if some else 1.0
 
 
+def _audited(graphs: DataFrame, members: DataFrame, shards: int, n: int, least: float) -> tuple[DataFrame, DataFrame, int]:
+    """(classes drawn by a hash, their answers by brute force, how many were expected).
+
+    Four times as many are drawn in turn, each answered once, until LEAST_LINKED have links or all are drawn.
+    """
+    draw = F.pmod(F.xxhash64(F.lit(4), "rep"), F.lit(DRAWS))
+    drawn, true, low, size = [], [], 0, AUDIT
+    while True:
+        high = DRAWS if size >= n else size * DRAWS // n
+        part = stash(members.where((draw >= low) & (draw < high)), "audit")
+        drawn.append(part)
+        true.append(stash(_answers(graphs, part, shards, min(size, n), None, least), "true"))
+        whole = reduce(DataFrame.unionByName, true)
+        linked = whole.where("linked is not null").select("rep").distinct().count()
+        if linked >= LEAST_LINKED or high == DRAWS:
+            return reduce(DataFrame.unionByName, drawn), whole, min(size, n)
+        low, size = high, 4 * size
+
+
 def near_duplicates(rows: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of `rows` (vec_id, embedding).
 
@@ -283,12 +306,12 @@ def near_duplicates(rows: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     shards = max(LEAST_SHARDS, -(-n // VECTORS_PER_SHARD))
     members = classes.select("rep", "embedding", "copies", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"))
     graphs = stash(_graphs(members), "graphs")
-    audit = stash(members.orderBy(F.xxhash64(F.lit(4), "rep")).limit(AUDIT), "audit")
-    true = stash(_answers(graphs, audit, shards, AUDIT, None, least), "true")
-    for beam in BEAMS:
-        if beam == BEAMS[-1] or _recall(_answers(graphs, audit, shards, AUDIT, beam, least), true) >= TARGET:
-            break
-    found = stash(_answers(graphs, members, shards, n, beam, least), "found")
+    audit, true, drawn = _audited(graphs, members, shards, n, least)
+    if drawn == n:
+        found = true
+    else:
+        passing = (beam for beam in BEAMS if _recall(_answers(graphs, audit, shards, drawn, beam, least), true) >= TARGET)
+        found = stash(_answers(graphs, members, shards, n, next(passing, None), least), "found")
     counts = found.where("linked is not null").groupBy("rep").agg(F.sum("linked").alias("others"))
     parts = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     told = vectors.join(classes, "embedding").select("rep", "copies", "vec_id").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
