@@ -339,6 +339,12 @@ def medium_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 MEDIUM_SQL = f"WITH m AS (SELECT * FROM ({EVENTS_SQL}) WHERE finding_ord % 3 = 0 AND severity = 'medium') SELECT DISTINCT a.pkg_id FROM m a JOIN m b ON a.pkg_id = b.pkg_id AND a.rule_id < b.rule_id AND (a.path = b.path OR (a.path = 'f4' AND b.path = 'f1') OR (a.path = 'f1' AND b.path = 'f4'))"
 
 
+def all_medium_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """medium_pairs over all events."""
+    found = _events(spark, sf_dir).withColumn("tier", scoring.tier())
+    return verdicts.corroborated_mediums(found, _event_graph(found)[1])
+
+
 def labels_of_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _events(spark, sf_dir).withColumn("pkg_id", F.concat("pkg_id", F.lit("-"), F.expr("finding_ord div 1000"))).withColumn("tier", scoring.tier())
     files = found.groupBy("pkg_id", "path").agg(F.count("*").alias("size")).withColumn("is_binary", F.col("path") == "f5")
@@ -397,6 +403,12 @@ def upserted_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 UPSERT_SQL = "WITH r AS (SELECT event_type || '-' || (user_id % 50) AS report_id, event_id AS scanned_at, user_id FROM events), fresh AS (SELECT report_id, max(scanned_at) AS scanned_at, arg_max(user_id, scanned_at) AS user_id FROM r WHERE scanned_at % 4 = 1 GROUP BY 1) SELECT * FROM fresh UNION ALL SELECT report_id, max(scanned_at), arg_max(user_id, scanned_at) FROM r WHERE scanned_at % 2 = 0 AND report_id NOT IN (SELECT report_id FROM fresh) GROUP BY 1"
 
 
+def all_upserted_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """upserted_reports with every event on one of its sides."""
+    rows = _read(spark, sf_dir, "events").select(F.concat("event_type", F.lit("-"), F.col("user_id") % 50).alias("report_id"), F.col("event_id").alias("scanned_at"), "user_id")
+    return reports.upserted(reports.latest(rows.where("scanned_at % 2 = 0")), rows.where("scanned_at % 2 = 1"))
+
+
 def distinct_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = _read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     first = F.row_number().over(Window.partitionBy("digest").orderBy("doc_id"))
@@ -537,12 +549,14 @@ _QUERIES: dict[str, tuple[Callable, str | None]] = {
     "tiers": (tiers, f"SELECT {TIER_SQL} AS tier, severity, count(*) AS n FROM ({EVENTS_SQL}) GROUP BY ALL"),
     "techniques": (techniques, TECHNIQUE_SQL),
     "medium_pairs": (medium_pairs, MEDIUM_SQL),
+    "all_medium_pairs": (all_medium_pairs, None),
     "labels_of_packages": (labels_of_packages, LABEL_SQL),
     "coverage_ledger": (coverage_ledger, LEDGER_SQL),
     "package_verdicts": (package_verdicts, None),
     "content_ids": (content_ids, CONTENT_SQL),
     "latest_reports": (latest_reports, LATEST_SQL),
     "upserted_reports": (upserted_reports, UPSERT_SQL),
+    "all_upserted_reports": (all_upserted_reports, None),
     "distinct_contents": (distinct_contents, DISTINCT_SQL),
     "repository_urls": (repository_urls, REPOSITORY_SQL),
     "unsafe_members": (unsafe_members, UNSAFE_SQL),
