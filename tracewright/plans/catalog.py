@@ -107,6 +107,12 @@ def _lookahead(rule: Rule) -> bool:
 _INTL_SKIPPED = tuple(r.rule_id for r in RULES if r.detector == INTL and _lookahead(r))
 
 
+def unsqled_findings_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the rules that the queries by rule leave out because DuckDB lacks lookaheads."""
+    rules = [r for r in RULES if r.rule_id in ("SC-P7", "SC-E10", *_INTL_SKIPPED)]
+    return patterns.scan(_layers(seeded(spark, sf_dir)), rules).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
 def finding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [r for r in RULES if r.rule_id in ("SC-SH1", "SC-SH3", "SC-SH6")]
     return patterns.scan(_layers(seeded(spark, sf_dir)), rules).select(F.col("pkg_id").cast("long").alias("doc_id"), "rule_id", "match_ord", "start_line", "end_line", "matched_text")
@@ -138,6 +144,11 @@ def unicode_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.unicode_scan(_layers(seeded(spark, sf_dir))).where("rule_id != 'SC-U3'").groupBy("rule_id", "matched_text").agg(F.count("*").alias("n"))
 
 
+def mixed_script_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings that unicode_findings leaves out."""
+    return patterns.mixed_script(_layers(seeded(spark, sf_dir))).groupBy("rule_id", "matched_text").agg(F.count("*").alias("n"))
+
+
 UNICODE_SQL = f"""WITH seeded AS ({SEEDED_SQL}), c(rule_id, ch, matched_text) AS (VALUES ('SC-U1', chr(8203), 'U+200B ZERO WIDTH SPACE'), ('SC-U1', chr(8288), 'U+2060 WORD JOINER'), ('SC-U2', chr(8238), 'U+202E RIGHT-TO-LEFT OVERRIDE'))
 SELECT rule_id, matched_text, CAST(sum(len(text) - len(replace(text, ch, ''))) AS BIGINT) AS n FROM seeded, c GROUP BY ALL HAVING n > 0"""
 
@@ -495,6 +506,12 @@ def mutated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 MUTATION_SQL = f"WITH seeded AS ({SEEDED_SQL}) SELECT doc_id, 'curl_to_wget' AS mutation, md5(regexp_replace(regexp_replace(text, 'curl -sL', 'wget -qO-'), 'curl', 'wget')) AS digest FROM seeded WHERE contains(text, 'curl') AND NOT contains(text, 'wget') UNION ALL SELECT doc_id, 'swap_domain', md5(replace(text, 'webhook.site', '{evaluate.SWAPPED_HOST}')) FROM seeded WHERE contains(text, 'webhook.site')"
 
 
+def reordered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mutation that mutated_texts leaves out."""
+    texts = seeded(spark, sf_dir).select("doc_id", "text", F.lit("a").alias("path")).withColumnRenamed("doc_id", "pkg_id")
+    return evaluate.mutations(texts).where("mutation = 'reorder_lines'").select(F.col("pkg_id").alias("doc_id"), "mutation", F.md5("text").alias("digest"))
+
+
 def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "events").select(F.col("event_type").alias("status"), F.col("event_id").alias("bytes"))
     return evaluate.status_rollup(rows)
@@ -527,10 +544,12 @@ _QUERIES: dict[str, tuple[Callable, str | None]] = {
     "prose_findings_by_rule": (_by_rule(PROSE, "SC-P7"), _by_rule_sql(PROSE, "SC-P7", flags="(?is)")),
     "intl_findings_by_rule": (_by_rule(INTL, *_INTL_SKIPPED), _by_rule_sql(INTL, *_INTL_SKIPPED, flags="(?is)")),
     "extended_findings_by_rule": (_by_rule(EXTENDED, "SC-E10"), _by_rule_sql(EXTENDED, "SC-E10")),
+    "unsqled_findings_by_rule": (unsqled_findings_by_rule, None),
     "secret_findings_by_rule": (_by_rule("secrets"), _by_rule_sql("secrets", flags="")),
     "finding_lines": (finding_lines, _finding_lines_sql()),
     "shell_rescan": (shell_rescan, SHELL_RESCAN_SQL),
     "unicode_findings": (unicode_findings, UNICODE_SQL),
+    "mixed_script_findings": (mixed_script_findings, None),
     "hex_spans": (hex_spans, HEX_SQL),
     "percent_spans": (percent_spans, PERCENT_SQL),
     "rot13_hits": (rot13_hits, ROT13_SQL),
@@ -566,6 +585,7 @@ _QUERIES: dict[str, tuple[Callable, str | None]] = {
     "label_distribution": (label_distribution, DISTRIBUTION_SQL),
     "false_positive_rate": (false_positive_rate, RATE_SQL),
     "mutated_texts": (mutated_texts, MUTATION_SQL),
+    "reordered_texts": (reordered_texts, None),
     "status_rollup": (status_rollup, ROLLUP_SQL),
     "display_ranks": (display_ranks, RANK_SQL),
     "admissions": (admissions, ADMISSION_SQL),
