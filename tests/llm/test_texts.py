@@ -35,7 +35,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
 
 
@@ -68,13 +67,71 @@ def test_every_id_is_packed_once_and_windows_are_full(spark):
 
 def test_neighbours_share_terms():
     docs = [np.array(d, np.uint16) for d in ([1, 2, 3, 0], [9, 8, 7, 0], [1, 2, 5, 0], [1, 6, 6, 0])]
-    index = packing.Index(docs, np.ones(packing.VOCABULARY, np.float32) - np.eye(1, packing.VOCABULARY, 0, dtype=np.float32)[0], 4.0)
-    index.unused[0] = False
+    index = packing.Index(docs, np.ones(16, np.float32) - np.eye(1, 16, 0, dtype=np.float32)[0], 4.0)
+    index.use(0)
     assert index.neighbours(0) == [2, 3]
-    index.unused[2] = False
+    index.use(2)
     assert index.neighbours(0) == [3]
 
 
+def brute_scores(docs, used, seed, idf, mean):
+    out = {}
+    weight = lambda d, t: idf[t] * (tf := d.count(t)) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    strong = sorted(set(docs[seed]) - {0}, key=lambda t: -weight(docs[seed], t))[: packing.QUERY_TERMS]
+    for i, d in enumerate(docs):
+        if i not in used:
+            out[i] = sum(weight(d, t) for t in strong if t in d)
+    return {i: s for i, s in out.items() if s > 0}
+
+
+def test_scores_against_plain_bm25_while_documents_are_used():
+    rng = random.Random(12)
+    docs = [[rng.randrange(1, 40) for _ in range(rng.randrange(1, 11))] + [0] for _ in range(300)]
+    counts = np.array([sum(t in d for d in docs) for t in range(40)])
+    idf, mean = packing.inverse_frequencies(counts, len(docs)), sum(map(len, docs)) / len(docs)
+    index, used = packing.Index([np.array(d, np.uint16) for d in docs], idf, mean), set()
+    for seed in rng.sample(range(300), 250):
+        index.use(seed)
+        used.add(seed)
+        want = brute_scores(docs, used, seed, idf, mean)
+        got = index.neighbours(seed)
+        assert len(got) == min(len(want), packing.NEIGHBOURS) and not used & set(got)
+        least = sorted(want.values(), reverse=True)[: len(got)]
+        assert [want[g] for g in got] == pytest.approx(least, rel=1e-4)
+
+
+def test_ids_are_those_of_the_tokenizer():
+    settled = re.compile(f"[{packing.settled_characters()}]")
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    held = "".join(f"a{c} {c}{c}1{c}\n" for c in chars if settled.match(c))
+    texts = EDGES + ["".join(f"x{c}y {c}" for c in chars), "a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "a" * 1_000_000, "!?" * 500_000, "\u0378\u1c80 \U0001f9ff"]
+    texts += [held[i : i + 20_000] for i in range(0, len(held), 20_000)]
+    encode = packing.encoder()
+    for text, want in zip(texts, reference_ids(texts)):
+        assert [*encode(text or ""), 0] == want
+
+
+def test_lexical_neighbours_meet_across_the_table(spark):
+    rng = random.Random(21)
+    topics = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)] for _ in range(30)]
+    texts = [" ".join(rng.choices(topics[i % 30], k=60)) for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    tokens = packing.tokenized(docs)
+    counts, n, mean = packing.document_frequencies(tokens)
+    assert n == 600 and counts[0] == 600
+    together = {}
+    for p in packing.packed(docs, shard_tokens=20_000).collect():
+        together.setdefault(p.sequence_id, []).append(p.doc_id % 30)
+    shares = [max(Counter(t).values()) / len(t) for t in together.values() if len(t) > 2]
+    assert np.mean(shares) > 0.6
+
+
+def test_many_empty_rows_are_packed(spark):
+    docs = spark.range(60_000).selectExpr("id as doc_id", "if(id % 3 = 0, null, '') as text")
+    pieces = packing.packed(docs).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert sum(p.n for p in pieces) == 60_000 and all(p.n == 1024 or p.n.bit_count() == 1 for p in pieces)
+
+
 def test_packing_nothing(spark):
     assert packing.packed(table(spark, [])).count() == 0
 

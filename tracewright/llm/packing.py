@@ -1,16 +1,20 @@
 """Lexical retrieval packing into windows of fixed length.
 
 Texts become token ids, closed by id 0. Terms of the BM25 index are the ids themselves, so that document
-frequencies, counted over all documents, are one bounded array. Documents are dealt into shards of bounded size in
-the order of the written id table; each shard has an inverted index of its own. A window starts with a seed
-document; the seed's strongest terms fetch its unused neighbours in the shard, which fill the window in the order of
-their scores. A document that does not fit is cut, and its rest is the next seed. What is left at the end of a
-partition is cut into windows of powers of two, which need no padding.
+frequencies, counted over all documents, are one bounded array. Documents are dealt into shards by a lexical key
+computed with these frequencies: their strongest terms, so that documents which share what tells them from others
+meet in one shard wherever they stand in the table. A term that very many documents hold is salted. Each shard has
+an inverted index of its own, bounded in tokens and in rows. A window starts with a seed document; the seed's
+strongest terms fetch its unused neighbours in the shard, which fill the window in the order of their scores. A
+document that does not fit is cut, and its rest is the next seed. What is left at the end of a partition is cut into
+windows of powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -24,79 +28,193 @@ from tracewright.scratch import stash
 
 WINDOW = 1024
 CLOSING_ID = 0
-VOCABULARY = 1 << 16
 SHARD_TOKENS = 2_000_000
+SHARD_ROWS = 8192
 QUERY_TERMS = 12
 NEIGHBOURS = 24
 K1, B = 1.2, 0.75
-RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
+#: Tokenizers whose ranks a second library reads; it gives the same ids several times faster on plain texts.
+RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
+LONG_TEXT = 50_000
 
 
 @cache
-def encoder(name: str = RANKS) -> Callable[[str], list[int]]:
-    """Text to ids. The rank file holds the vocabulary of byte_bpe_50k.json; strings of special tokens are ordinary text."""
+def tokenizer(name: str = TOKENIZER):
     import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def vocabulary(name: str = TOKENIZER) -> int:
+    return tokenizer(name).get_vocab_size(with_added_tokens=True)
+
+
+def id_type(name: str = TOKENIZER) -> str:
+    return "<u2" if vocabulary(name) <= 1 << 16 else "<u4"
+
+
+@cache
+def settled_characters() -> str:
+    """A character class: what the oldest Unicode tables at hand and today's put into the same category, below U+10000.
+
+    Two libraries that carry tables of different years split texts of these characters alike.
+    """
+    old, out, start = unicodedata.ucd_3_2_0, [], None
+    for c in range(0x10001):
+        same = c < 0x10000 and (kind := old.category(chr(c))) != "Cn" and kind[0] not in "C" and kind == unicodedata.category(chr(c)) or c in (9, 10, 11, 12, 13)
+        if same and start is None:
+            start = c
+        elif not same and start is not None:
+            out.append(f"\\u{start:04x}-\\u{c - 1:04x}")
+            start = None
+    return "".join(out)
+
+
+@cache
+def encoder(name: str = TOKENIZER) -> Callable[[str], list[int]]:
+    """Text to the ids that `tokenizers` gives, without special tokens added.
+
+    Where the vocabulary's ranks are at hand, `tiktoken` encodes the texts on which the two cannot differ: no string
+    of a special token in them, settled characters only, no very long run without a break (on which it may fail).
+    """
+    import public_tokenizers
+
+    exact = tokenizer(name)
+    if name not in RANKS:
+        return lambda text: exact.encode(text, add_special_tokens=False).ids
     import tiktoken
 
-    with open(public_tokenizers.path(name), "rb") as file:
+    with open(public_tokenizers.path(RANKS[name]), "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    special = re.compile("|".join(re.escape(t.content) for t in exact.get_added_tokens_decoder().values()) or r"(?!)")
+    unsettled = re.compile(f"[^{settled_characters()}]")
+    unbroken = re.compile(r"\s{2000}|\S{2000}")
+
+    def encode(text: str) -> list[int]:
+        if special.search(text) or not text.isascii() and unsettled.search(text) or len(text) > LONG_TEXT and unbroken.search(text):
+            return exact.encode(text, add_special_tokens=False).ids
+        return fast(text)
 
+    return encode
 
-def tokenized(docs: DataFrame, name: str = RANKS) -> DataFrame:
-    """(doc_id, ids) per row, ids as little-endian unsigned 16-bit numbers; a null text has the closing id alone."""
+
+def tokenized(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
+    """(doc_id, ids) per row, ids as little-endian unsigned numbers of `id_type`; a null text has the closing id alone."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(name)
+        encode, kind = encoder(name), id_type(name)
         for batch in batches:
-            ids = [np.array([*encode(text or ""), CLOSING_ID], "<u2").tobytes() for text in batch.column(1).to_pylist()]
+            ids = [np.array([*encode(text or ""), CLOSING_ID], kind).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(per_batch, "doc_id long, ids binary")
 
 
-def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
+def document_frequencies(tokens: DataFrame, name: str = TOKENIZER) -> tuple[np.ndarray, int, float]:
     """(documents that hold each id, documents, mean length) over all of `tokens`."""
+    size, kind = vocabulary(name), id_type(name)
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(VOCABULARY, np.int64)
+        counts, last = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        order = 0
         for batch in batches:
             for ids in batch.column(0):
-                counts[np.unique(np.frombuffer(ids.as_buffer(), "<u2"))] += 1
+                found = np.frombuffer(ids.as_buffer(), kind)
+                stamps = np.arange(order + 1, order + 1 + len(found))
+                last[found] = stamps  # of equal ids the last one stays
+                counts[found[last[found] == stamps]] += 1
+                order += len(found)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], ["id", "n"])
 
     found = tokens.select("ids").mapInArrow(per_partition, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(VOCABULARY, np.int64)
+    counts = np.zeros(size, np.int64)
     counts[found.column("id").to_numpy()] = found.column("n").to_numpy()
     n, total = tokens.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
-    return counts, n, total / 2 / max(n, 1)
+    return counts, n, total / np.dtype(kind).itemsize / max(n, 1)
+
+
+def inverse_frequencies(frequencies: np.ndarray, n: int) -> np.ndarray:
+    """BM25's weight of each id; the closing id, which all documents hold, weighs nothing."""
+    idf = np.log1p((n - frequencies + 0.5) / (frequencies + 0.5)).astype(np.float32)
+    idf[CLOSING_ID] = 0
+    return idf
+
+
+def strongest_terms(ids: np.ndarray, idf: np.ndarray, shared: np.ndarray, mean: float) -> tuple[int, int]:
+    """The two terms of the highest BM25 weight among those that another document holds too; the closing id for none."""
+    terms, counts = np.unique(ids, return_counts=True)
+    weight = np.where(shared[terms], idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * len(ids) / max(mean, 1))), 0)
+    first = int(weight.argmax())
+    if weight[first] <= 0:
+        return CLOSING_ID, CLOSING_ID
+    best = int(terms[first])
+    weight[first] = 0
+    second = int(weight.argmax())
+    return best, int(terms[second]) if weight[second] > 0 else best
+
+
+def keyed(tokens: DataFrame, frequencies: np.ndarray, n: int, mean: float, shard_tokens: int, shard_rows: int, name: str) -> DataFrame:
+    """`tokens` with term, next_term and salt. A term has as many salts as the documents that hold it could fill shards."""
+    kind = id_type(name)
+    salts = np.maximum(1, np.ceil(frequencies * max(mean / shard_tokens, 1 / shard_rows))).astype(np.int64)
+    known = tokens.sparkSession.sparkContext.broadcast((inverse_frequencies(frequencies, n), frequencies > 1, salts))  # arrays as long as the vocabulary
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, shared, many = known.value
+        for batch in batches:
+            terms = np.array([strongest_terms(np.frombuffer(ids.as_buffer(), kind), idf, shared, mean) for ids in batch.column(1)], np.int64).reshape(-1, 2)
+            columns = [pa.array(terms[:, 0]), pa.array(terms[:, 1]), pa.array(many[terms[:, 0]])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["doc_id", "ids", "term", "next_term", "salts"])
+
+    found = tokens.mapInArrow(per_batch, "doc_id long, ids binary, term long, next_term long, salts long")
+    # A salt goes by the second term where there is one, so that near copies stay together, and by the row where there is none.
+    finer = F.when(F.col("next_term") != F.col("term"), F.xxhash64("next_term", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(4)))).otherwise(F.xxhash64("doc_id", "ids"))
+    return found.withColumn("salt", F.pmod(finer, F.col("salts"))).drop("salts")
 
 
 class Index:
-    """BM25 postings of one shard, and which of its documents are still unused."""
+    """BM25 postings of one shard's unused documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         pairs = [np.unique(d, return_counts=True) for d in docs]
         terms = np.concatenate([t for t, _ in pairs])
         tf = np.concatenate([c for _, c in pairs]).astype(np.float32)
         sizes = np.array([len(t) for t, _ in pairs])
-        doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
         norm = np.repeat(np.array([K1 * (1 - B + B * len(d) / max(mean, 1)) for d in docs], np.float32), sizes)
         weight = idf[terms] * tf * np.float32(K1 + 1) / (tf + norm)
         self.cuts = np.concatenate(([0], np.cumsum(sizes)))
         self.terms, self.weight = terms, weight
-        order = np.argsort(terms, kind="stable")
-        self.posted, self.posted_weight = doc[order], weight[order]
-        self.starts = np.searchsorted(terms[order], np.arange(VOCABULARY + 1))
+        self.size = len(idf)
         self.unused = np.ones(len(docs), bool)
         self.scores = np.zeros(len(docs), np.float32)
+        order = np.argsort(terms, kind="stable")
+        self._post(np.repeat(np.arange(len(docs), dtype=np.int32), sizes)[order], weight[order], terms[order])
+
+    def _post(self, docs: np.ndarray, weights: np.ndarray, terms: np.ndarray) -> None:
+        self.posted, self.posted_weight, self.posted_terms = docs, weights, terms
+        self.starts = np.searchsorted(terms, np.arange(self.size + 1))
+        self.left, self.used = max(int(self.unused.sum()), 1), 0
+
+    def use(self, doc: int) -> None:
+        """Take a document out; once half of the posted ones are out, their postings go."""
+        self.unused[doc] = False
+        self.used += 1
+        if 2 * self.used > self.left > 64:
+            kept = self.unused[self.posted]
+            self._post(self.posted[kept], self.posted_weight[kept], self.posted_terms[kept])
 
     def neighbours(self, seed: int) -> list[int]:
         """Unused documents that share the seed's strongest terms, best first, ties in shard order."""
         a, b = self.cuts[seed], self.cuts[seed + 1]
         weight, terms = self.weight[a:b], self.terms[a:b]
         strong = np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS] if b - a > QUERY_TERMS else np.arange(b - a)
+        strong = strong[weight[strong] > 0]
+        if not len(strong):
+            return []
         self.scores[:] = 0
         for t in terms[strong].tolist():
             at = slice(self.starts[t], self.starts[t + 1])
@@ -139,18 +257,18 @@ class Packer:
 
     def finish(self) -> None:
         """Close what is left as windows of powers of two."""
-        rest, left = self.open, self.filled
+        rest, left = self.open[::-1], self.filled
         self.open, self.filled = [], 0
         while left:
             size = 1 << left.bit_length() - 1
             left -= size
             while size:
-                doc_id, total, start, length, ids = rest.pop(0)
+                doc_id, total, start, length, ids = rest.pop()
                 took = min(size, length)
                 self.open.append((doc_id, total, start, took, ids[:took]))
                 size -= took
                 if took < length:
-                    rest.insert(0, (doc_id, total, start + took, length - took, ids[took:]))
+                    rest.append((doc_id, total, start + took, length - took, ids[took:]))
             self.close()
 
 
@@ -162,13 +280,13 @@ def pack_shard(packer: Packer, doc_ids: list, docs: list[np.ndarray], idf: np.nd
         if cursor == len(docs):
             return
         seed = cursor
-        index.unused[seed] = False
+        index.use(seed)
         packer.put(doc_ids[seed], docs[seed])
         while packer.filled:
             sequence, last = packer.sequence, seed
             found = index.neighbours(seed)
             for other in found:
-                index.unused[other] = False
+                index.use(other)
                 packer.put(doc_ids[other], docs[other])
                 last = other
                 if packer.sequence != sequence:
@@ -179,17 +297,19 @@ def pack_shard(packer: Packer, doc_ids: list, docs: list[np.ndarray], idf: np.nd
                 break  # no neighbour is left for this window: the next unused document goes on
 
 
-def packed(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, name: str = RANKS) -> DataFrame:
+def packed(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, shard_rows: int = SHARD_ROWS, name: str = TOKENIZER) -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of all rows of `docs` (doc_id, text).
 
     Every id of every row is in exactly one piece; ids are little-endian unsigned 32-bit numbers. Null and empty
     texts are one closing id. Repeated rows and null doc_ids are packed like others. Sequences are full but for a few
-    at the end of each partition, whose lengths are powers of two. An empty table gives an empty table.
+    at the end of each partition, whose lengths are powers of two. An empty table gives an empty table. Within a
+    partition rows stand in one order, whatever order they came in, so that a task that runs again does the same.
     """
     tokens = stash(tokenized(docs, name), "tokens")
-    frequencies, n, mean = document_frequencies(tokens)
-    idf = np.log1p((n - frequencies + 0.5) / (frequencies + 0.5)).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast(idf)  # VOCABULARY numbers, whatever the input
+    frequencies, n, mean = document_frequencies(tokens, name)
+    shared = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(frequencies, n))  # as long as the vocabulary
+    dealt = keyed(tokens, frequencies, n, mean, shard_tokens, shard_rows, name).repartition("term", "salt").sortWithinPartitions("term", "salt", "next_term", "doc_id", "ids")
+    kind = id_type(name)
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, TaskContext.get().partitionId() << 36)
@@ -197,9 +317,9 @@ def packed(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKE
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 doc_ids.append(doc_id)
-                arrays.append(np.frombuffer(ids, "<u2"))
+                arrays.append(np.frombuffer(ids, kind))
                 tokens += len(arrays[-1])
-                if tokens >= shard_tokens:
+                if tokens >= shard_tokens or len(arrays) >= shard_rows:
                     pack_shard(packer, doc_ids, arrays, shared.value, mean)
                     yield _rows(packer)
                     doc_ids, arrays, tokens = [], [], 0
@@ -208,7 +328,7 @@ def packed(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKE
         packer.finish()
         yield _rows(packer)
 
-    return tokens.mapInArrow(per_partition, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return dealt.select("doc_id", "ids").mapInArrow(per_partition, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def _rows(packer: Packer) -> pa.RecordBatch:
