@@ -37,6 +37,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Tokenizers whose ranks a second library reads; it gives the same ids several times faster on plain texts.
 RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
 LONG_TEXT = 50_000
+MEETING = 16
 
 
 @cache
@@ -144,35 +145,47 @@ def inverse_frequencies(frequencies: np.ndarray, n: int) -> np.ndarray:
     return idf
 
 
-def strongest_terms(ids: np.ndarray, idf: np.ndarray, shared: np.ndarray, mean: float) -> tuple[int, int]:
-    """The two terms of the highest BM25 weight among those that another document holds too; the closing id for none."""
-    terms, counts = np.unique(ids, return_counts=True)
-    weight = np.where(shared[terms], idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * len(ids) / max(mean, 1))), 0)
-    first = int(weight.argmax())
-    if weight[first] <= 0:
-        return CLOSING_ID, CLOSING_ID
-    best = int(terms[first])
-    weight[first] = 0
-    second = int(weight.argmax())
-    return best, int(terms[second]) if weight[second] > 0 else best
+def ranks_of_terms(frequencies: np.ndarray) -> np.ndarray:
+    """How well a term serves as a meeting point: the rarer the better, those of fewer than MEETING documents after all others, 0 for none.
+
+    A term that one document alone holds, and the closing id, lead nowhere.
+    """
+    rank = np.zeros(len(frequencies), np.int64)
+    useful = np.flatnonzero((frequencies > 1) & (np.arange(len(frequencies)) != CLOSING_ID))
+    count = frequencies[useful]
+    order = np.lexsort((useful, np.where(count >= MEETING, -count, count), count >= MEETING))
+    rank[useful[order]] = np.arange(1, len(useful) + 1)
+    return rank
+
+
+def strongest_terms(ids: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and second term by rank of each document; documents stand one after the other and end before `ends`. The closing id for none."""
+    by_rank = np.full(rank.max(initial=0) + 1, CLOSING_ID, np.int64)
+    by_rank[rank[rank > 0]] = np.flatnonzero(rank > 0)
+    starts, found = np.concatenate(([0], ends[:-1])), rank[ids]
+    first = np.maximum.reduceat(found, starts)
+    found[found == np.repeat(first, ends - starts)] = 0
+    return by_rank[first], by_rank[np.maximum.reduceat(found, starts)]
 
 
-def keyed(tokens: DataFrame, frequencies: np.ndarray, n: int, mean: float, shard_tokens: int, shard_rows: int, name: str) -> DataFrame:
+def keyed(tokens: DataFrame, frequencies: np.ndarray, mean: float, shard_tokens: int, shard_rows: int, name: str) -> DataFrame:
     """`tokens` with term, next_term and salt. A term has as many salts as the documents that hold it could fill shards."""
     kind = id_type(name)
     salts = np.maximum(1, np.ceil(frequencies * max(mean / shard_tokens, 1 / shard_rows))).astype(np.int64)
-    known = tokens.sparkSession.sparkContext.broadcast((inverse_frequencies(frequencies, n), frequencies > 1, salts))  # arrays as long as the vocabulary
+    known = tokens.sparkSession.sparkContext.broadcast((ranks_of_terms(frequencies), salts))  # as long as the vocabulary
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, shared, many = known.value
+        rank, many = known.value
         for batch in batches:
-            terms = np.array([strongest_terms(np.frombuffer(ids.as_buffer(), kind), idf, shared, mean) for ids in batch.column(1)], np.int64).reshape(-1, 2)
-            columns = [pa.array(terms[:, 0]), pa.array(terms[:, 1]), pa.array(many[terms[:, 0]])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["doc_id", "ids", "term", "next_term", "salts"])
+            if batch.num_rows:
+                each = [np.frombuffer(ids.as_buffer(), kind) for ids in batch.column(1)]
+                first, second = strongest_terms(np.concatenate(each), np.cumsum([len(e) for e in each]), rank)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(second), pa.array(many[first])], ["doc_id", "ids", "term", "next_term", "salts"])
 
     found = tokens.mapInArrow(per_batch, "doc_id long, ids binary, term long, next_term long, salts long")
-    # A salt goes by the second term where there is one, so that near copies stay together, and by the row where there is none.
-    finer = F.when(F.col("next_term") != F.col("term"), F.xxhash64("next_term", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(4)))).otherwise(F.xxhash64("doc_id", "ids"))
+    # A salt goes by the second term where there is one, so that near copies stay close, and by the row where there is none.
+    row = F.xxhash64("doc_id", "ids")
+    finer = F.when(F.col("next_term") != CLOSING_ID, F.xxhash64("next_term", F.pmod(row, F.lit(4)))).otherwise(row)
     return found.withColumn("salt", F.pmod(finer, F.col("salts"))).drop("salts")
 
 
@@ -308,7 +321,7 @@ def packed(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKE
     tokens = stash(tokenized(docs, name), "tokens")
     frequencies, n, mean = document_frequencies(tokens, name)
     shared = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(frequencies, n))  # as long as the vocabulary
-    dealt = keyed(tokens, frequencies, n, mean, shard_tokens, shard_rows, name).repartition("term", "salt").sortWithinPartitions("term", "salt", "next_term", "doc_id", "ids")
+    dealt = keyed(tokens, frequencies, mean, shard_tokens, shard_rows, name).repartition("term", "salt").sortWithinPartitions("term", "salt", "next_term", "doc_id", "ids")
     kind = id_type(name)
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
