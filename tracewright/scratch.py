@@ -51,3 +51,15 @@ def discard(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if folder.split(":", 1)[-1].lstrip("/").startswith(base.split(":", 1)[-1].lstrip("/")):
             _delete(spark, folder)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that `df` does not have, in whatever case, and that differ from each other."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        new = f"_{name}"
+        while new.lower() in held:
+            new = f"_{new}"
+        held.add(new.lower())
+        out.append(new)
+    return out
