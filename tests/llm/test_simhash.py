@@ -91,3 +91,11 @@ def test_empty_table_repeats_and_null_ids(spark):
     rows = [(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (None, "q r s t u v")]
     got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [("7", "7"), ("7", "7"), ("None", "7"), ("None", "None")]
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(3, "a b c d e", "x"), (7, "a b c d e", "y"), (7, "quite another text with words of its own", "z"), (None, "a b c d e", "n"), (None, "only here and without any id at all", "p"), (None, "only here and without any id at all", "p"), (8, None, "e"), (9, "", "f"), (9, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _fingerprint string")
+    got = sorted((str(r.doc_id), r.text or "", r._fingerprint) for r in simhash.one_of_each(docs).collect())
+    assert got == sorted([("3", "a b c d e", "x"), ("7", rows[2][1], "z"), ("None", rows[4][1], "p"), ("8", "", "e")])
+    assert simhash.one_of_each(docs.limit(0)).count() == 0

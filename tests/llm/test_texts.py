@@ -317,6 +317,44 @@ def test_mix_meets_targets(spark):
     assert words == Counter({r.doc_id: r.taken for r in rows if r.taken})
 
 
+def test_sparse_shards_and_small_sources_meet_their_targets(spark):
+    rng = random.Random(31)
+    rows = [(i, prose(rng, 10), "b ten words in each shard") for i in range(50)]
+    rows += [(100 + i, prose(rng, 1), "c five words") for i in range(5)] + [(200, prose(rng, 1500), "d one text"), (300, prose(rng, 7), None)]
+    rows += [(1000 + i, prose(rng, rng.choice([3, 40, 200])), "a large one") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for per_shard in (30, 100_000):
+        got = mixing.mixed(docs, rows_per_shard=per_shard).collect()
+        taken, target = Counter(), {r.source: r.target for r in got}
+        for r in got:
+            assert 0 <= r.taken <= 3 * r["size"]
+            taken[r.source] += r.taken
+        assert all(abs(taken[s] - t) < mixing.BLOCK_WORDS for s, t in target.items())
+        assert taken["c five words"] == 15 and taken["b ten words in each shard"] == 1500
+
+
+def test_very_many_sources(spark):
+    docs = spark.range(100_000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 7 as int)) as text", "concat('s', id) as source").union(spark.createDataFrame([(10**6, "v " * 5000, "big")], "doc_id long, text string, source string"))
+    got = mixing.mixed(docs).agg(F.count("*"), F.max(F.abs(F.col("taken") - F.col("target"))), F.max(F.col("taken") - 3 * F.col("size"))).first()
+    assert got[0] == 100_001 and got[1] < mixing.BLOCK_WORDS and got[2] <= 0
+
+
+def test_shards_win_words_by_sainte_lague(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for s in range(40):
+        words = [rng.choice([0, 1, 2, 50, rng.randrange(1, 5000)]) for _ in range(rng.randrange(1, 30))]
+        if not sum(words):
+            continue
+        take = rng.choice([0, 1, sum(words), 3 * sum(words), rng.randrange(0, 3 * sum(words) + 1)])
+        rows += [(f"s{s}", k, w, sum(words), take) for k, w in enumerate(words)]
+        held = [(k, w) for k, w in enumerate(words) if w]
+        for (k, _), q in zip(held, mixing.apportion([Fraction(w) for _, w in held], [3 * w for _, w in held], take)):
+            want[f"s{s}", k] = q
+    got = {(r.source, r._shard): r.quota for r in mixing.quotas(spark.createDataFrame(rows, "source string, _shard int, words long, source_size long, take long")).collect()}
+    assert got == want
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mixed(table(spark, [])).count() == 0
     rows = mixing.mixed(spark.createDataFrame([(1, None, None), (1, "", "a"), (None, "", "b")], "doc_id long, text string, source string")).collect()

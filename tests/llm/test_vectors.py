@@ -239,3 +239,17 @@ def test_pipeline_stages_keep_their_promises(spark, tmp_path):
         before = after
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "substring dedup", "mixing", "packing"]
     assert before.count() > 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_keep_columns_whose_names_clash(spark, name):
+    d = "/root/testdata/sf0.001"
+    clashing = ["_toxicity", "_scored", "_copy", "_row", "row", "ord", "digest", "_row_number", "_fingerprint", "_text", "score", "ids", "n", "fp", "size", "_part", "term"]
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(60).select("*", *[F.lit(c).alias(c) for c in clashing])
+    docs = docs.unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    after = dict(corpus_pipeline.STAGES)[name](spark, docs, d)
+    if name != "packing":
+        assert after.columns == docs.columns
+        assert after.where(" and ".join(f"`{c}` = '{c}'" for c in clashing)).count() == after.count() > 0
+    else:
+        assert after.count() > 0

@@ -2,10 +2,12 @@
 
 Sizes are counted in words. A target per source (weights reshared until none exceeds `MAX_PASSES` times what the
 source has) is met with blocks of equal length: blocks go to the source with the highest quotient
-target / (2 * seats + 1), and a source's blocks go to its shards in the same way by their sizes. In a shard the
-documents stand in a seeded order, the end joined to the beginning; its quota of consecutive blocks is read from
-there on, from a seeded start, so that a text is repeated only when the source is short and never more than
-MAX_PASSES times.
+target / (2 * seats + 1), the last block of a source may be short, so that no source misses its target by a block.
+What a source gets goes to its shards in the same way by their sizes, word by word, which gives an integer quota per
+shard whose sum is exact. In a shard the documents stand in a seeded order, the end joined to the beginning; its
+quota is read as one run of consecutive blocks from a seeded start, so that a text is repeated only when the source
+is short and never more than MAX_PASSES times, and few documents are cut. The driver holds a few numbers per source;
+shards are apportioned by the executors.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.scratch import stash
+
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_PASSES = 3
 BLOCK_WORDS = 16
 ROWS_PER_SHARD = 20_000
-MAX_CELLS = 1_000_000
 SEED = 20
 
 
@@ -41,7 +44,8 @@ def targets(sizes: list[int], weights: list[int], most: int = MAX_PASSES) -> lis
         for i in full:
             out[i] = Fraction(most * sizes[i])
             left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        gone = set(full)
+        open_ = [i for i in open_ if i not in gone]
     return out
 
 
@@ -71,51 +75,62 @@ def _in_code_point_order(names: list[str | None]) -> list[str | None]:
     return sorted(names, key=lambda s: (s is None, s or ""))
 
 
-def plan(cells: dict[tuple[str | None, int], int], weights: tuple[int, ...], block: int, most: int) -> tuple[dict, dict]:
-    """(size and target by source, quota in words by cell) for sizes in words by (source, shard)."""
-    names = _in_code_point_order(list({s for s, _ in cells}))
-    own: dict[str | None, dict[int, int]] = {s: {} for s in names}
-    for (s, k), n in sorted(cells.items(), key=lambda c: c[0][1]):
-        own[s][k] = n
-    sizes = [sum(own[s].values()) for s in names]
-    wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], most)
-    limits = [sum(most * n // block for n in own[s].values()) for s in names]
-    seats = apportion(wanted, limits, round(sum(wanted) / block))
-    quotas = {}
-    for s, won in zip(names, seats):
-        shards = list(own[s])
-        for k, q in zip(shards, apportion([Fraction(own[s][k]) for k in shards], [most * own[s][k] // block for k in shards], won)):
-            quotas[s, k] = q * block
-    return {s: (size, float(w)) for s, size, w in zip(names, sizes, wanted)}, quotas
-
-
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK_WORDS, most: int = MAX_PASSES, seed: int = SEED) -> DataFrame:
+def plan(sizes: dict[str | None, int], weights: tuple[int, ...], block: int, most: int) -> dict[str | None, tuple[float, int]]:
+    """(target, words to take) by source. A source's last block is cut, or a part of one more added, where that meets the target to the word."""
+    names = _in_code_point_order(list(sizes))
+    wanted = targets([sizes[s] for s in names], [weights[i % len(weights)] for i in range(len(names))], most)
+    seats = apportion(wanted, [-(-most * sizes[s] // block) for s in names], round(sum(wanted) / block))
+    takes = [max((won - 1) * block, min(round(w), (won + 1) * block)) for w, won in zip(wanted, seats)]
+    return {s: (float(w), max(0, min(take, most * sizes[s]))) for s, w, take in zip(names, wanted, takes)}
+
+
+def quotas(cells: DataFrame) -> DataFrame:
+    """`cells` (source, _shard, words, source_size, take) with quota: `take` words by highest quotients words / (2 * quota + 1), ties to the first shard.
+
+    Rounding down at half a word per shard less than due gives words that are sure; a shard can win at most
+    words * shards / source_size + 2 more, and the highest of these quotients win what is left.
+    """
+    shards, exact = F.col("shards").cast("decimal(38,0)"), lambda c: F.col(c).cast("decimal(38,0)")
+    of_source = Window.partitionBy("source")
+    counted = cells.where("words > 0").withColumn("shards", F.count("*").over(of_source))
+    due = (exact("words") * (2 * F.col("take") - F.col("shards")).cast("decimal(20,0)") - exact("source_size")) / (2 * exact("source_size"))
+    sure = counted.withColumn("sure", F.greatest(F.lit(0).cast("long"), F.floor(due).cast("long")))
+    left = sure.withColumn("left", F.col("take") - F.sum("sure").over(of_source))
+    more = F.floor(exact("words") * shards / exact("source_size")).cast("int") + 2
+    each = left.select("source", "_shard", "words", "sure", "left", F.explode(F.sequence(F.lit(0), more - 1)).alias("nth"))
+    quotient = F.col("words") / (2 * (F.col("sure") + F.col("nth")) + 1)
+    best = Window.partitionBy("source").orderBy(F.desc("quotient"), "_shard", "nth")
+    won = each.withColumn("quotient", quotient).withColumn("place", F.row_number().over(best))
+    return won.groupBy("source", "_shard").agg((F.first("sure") + F.count(F.when(F.col("place") <= F.col("left"), 1))).alias("quota"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK_WORDS, most: int = MAX_PASSES, seed: int = SEED, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """Every row of `docs` (doc_id, text, source) as `row`, with size, source_size, target, taken, and what is taken.
 
     `passes` whole readings of a document are taken and, beyond them, the words from `head_from` up to `head_until`
     and from `tail_from` up to `tail_until` (counted from 0, either may be empty). Sources stand in code point order,
     null last, and weigh `weights`, repeating. Null and empty texts have size 0 and nothing is taken of them. Rows
     that repeat a doc_id are rows of their own. Ties in the seeded order fall to doc_id and a hash of the text. An
-    empty table gives an empty table. What a source gets differs from its target by less than a block for each of its shards.
+    empty table gives an empty table. What a source gets differs from its target by less than a block, however its
+    documents lie in shards.
     """
     known = [F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")]
     rows = docs.select(*known, word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"))
     n = rows.count()
-    shards = max(1, -(-n // ROWS_PER_SHARD))
-    shard = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(shards)).cast("int")
+    shards = max(1, -(-n // rows_per_shard))
+    shard = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "_tie"), F.lit(shards)).cast("int")
     kept = rows.select("*", shard.alias("_shard"), F.xxhash64(F.lit(seed), "doc_id").alias("_order"))
-    sums = kept.groupBy("source", "_shard").agg(F.sum("size").alias("words")).limit(MAX_CELLS + 1).collect()
-    if len(sums) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} sources times shards")
-    cells = {(r.source, r._shard): r.words for r in sums}
-    of_source, quotas = plan(cells, weights, block, most)
-    spark = docs.sparkSession
-    table = [(s, k, of_source[s][0], of_source[s][1], cells[s, k], quotas[s, k]) for s, k in cells]
-    # At most MAX_CELLS rows, and broadcast only while they are few.
-    cell = spark.createDataFrame(table, "_name string, _part int, source_size long, target double, _cell long, _quota long")
-    if len(table) <= 10_000:
-        cell = F.broadcast(cell)
-    joined = kept.join(cell, F.col("source").eqNullSafe(F.col("_name")) & (F.col("_shard") == F.col("_part")))
+    cells = stash(kept.groupBy("source", "_shard").agg(F.sum("size").alias("words")), "cells")
+    sums = cells.groupBy("source").agg(F.sum("words").alias("words")).toArrow()  # a row per source
+    sizes = dict(zip(sums.column("source").to_pylist(), sums.column("words").to_pylist()))
+    table = [(s, sizes[s], target, take) for s, (target, take) in plan(sizes, weights, block, most).items()]
+    of_source = docs.sparkSession.createDataFrame(table, "_name string, source_size long, target double, take long")
+    told = cells.join(of_source, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    won = quotas(told).select(F.col("source").alias("_source"), F.col("_shard").alias("_part"), "quota")
+    same_cell = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_part"))
+    full = told.join(won, same_cell, "left").select(F.col("source").alias("_name"), F.col("_shard").alias("_part"), "source_size", "target", F.col("words").alias("_cell"), F.coalesce("quota", F.lit(0).cast("long")).alias("_quota"))
+    # A written table, whose size Spark knows: it is broadcast where that is small, else joined by its key.
+    joined = kept.join(stash(full, "quotas"), F.col("source").eqNullSafe(F.col("_name")) & (F.col("_shard") == F.col("_part")))
     in_cell = Window.partitionBy("source", "_shard").orderBy("_order", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = joined.withColumn("_until", F.sum("size").over(in_cell))
     return _taken(placed, seed)

@@ -18,9 +18,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tracewright.llm.components import connected_components
-from tracewright.scratch import stash
+from tracewright.scratch import fresh, stash
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -128,3 +129,31 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MAX
     smallest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_class = labelled.join(smallest, "component").select("fp", "component_id")
     return marked.join(of_class, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """`docs` with one row of each near-duplicate group, every column as it is.
+
+    The row with the smallest doc_id stays, of several such rows one with the smallest fingerprint, a null doc_id only
+    where the group has no other. Rows are told apart by a number of their own, so that repeated doc_ids and repeated
+    rows, null doc_ids included, are decided one by one.
+    """
+    number, print_, at = fresh(docs, "row_number", "fingerprint", "text")
+    names = [*docs.columns, print_]
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t, words) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], names)
+
+    marked = docs.select("*", F.col("text").alias(at)).mapInArrow(per_batch, StructType([*docs.schema.fields, StructField(print_, LongType())]))
+    kept = stash(marked.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = kept.select(F.col(number).alias("n"), F.col("doc_id").cast("long").alias("doc_id"), F.col(print_).alias("fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n")).alias("first")
+    classes = stash(rows.groupBy("fp").agg(first, F.count("*").alias("many")), "classes")
+    parts = connected_components(links(classes.select("fp"), most, blocks))
+    labelled = classes.join(parts, classes.fp == parts.node, "left").select("fp", "first", "many", F.coalesce("component", "fp").alias("component"))
+    keepers = labelled.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("many").alias("many")).where("many > 1")
+    grouped = labelled.select("fp", "component").join(keepers, "component").select("fp", F.col("keeper.n").alias("keeper"))
+    gone = rows.join(grouped, "fp").where("n != keeper").select(F.col("n").alias("_n"))
+    return kept.join(gone, F.col(number) == F.col("_n"), "left_anti").select(*docs.columns)

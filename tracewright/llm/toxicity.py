@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tracewright.scratch import stash
+from tracewright.scratch import fresh, stash
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -175,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most
 def scored(docs: DataFrame, model: Model, columns: list[str], name: str = "score") -> DataFrame:
     """`columns` of `docs` and `name`, a number from 0 to 1 for each whole text. Null texts count as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of BUCKETS numbers
-    kept = docs.select(*columns, F.col("text").alias("_scored"))
-    schema = docs.select(*columns).schema.add(name, "double")
+    kept = docs.select(*columns, F.col("text").alias(fresh(docs, "scored")[0]))
+    schema = StructType([*docs.select(*columns).schema.fields, StructField(name, DoubleType())])
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
