@@ -85,7 +85,7 @@ def test_links_are_whole_where_no_beam_passes_or_links_are_rare(spark, monkeypat
     monkeypatch.setattr(hnsw, "AUDIT", 8)
     monkeypatch.setattr(hnsw, "LEAST_LINKED", 20, raising=False)
     answers = hnsw._answers
-    monkeypatch.setattr(hnsw, "_answers", lambda graphs, queries, shards, n, beam, least: answers(graphs, queries, shards, n, beam, least).where(F.lit(beam is None)))
+    monkeypatch.setattr(hnsw, "_answers", lambda graphs, queries, shards, n, beam, least, pairs=False: answers(graphs, queries, shards, n, beam, least, pairs).where(F.lit(beam is None)))
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(frame(spark, rows)).collect()}
     assert got == brute_links(rows)
 
@@ -102,10 +102,38 @@ def test_graph_finds_planted_neighbours():
     assert sum(len(np.intersect1d(f, t)) for f, t in zip(found, true)) >= 0.99 * sum(map(len, true))
 
 
+def test_a_link_counts_on_both_sides_whichever_found_it(spark, monkeypatch):
+    mark = lambda a, b: int(hnsw._pair_mark(a, np.array([b]))[0])
+    assert mark(1, 2) == mark(2, 1) != mark(1, 3)
+    # 1 found 2 and 3, 2 found nothing, 3 found 1; 4 and 5 found each other.
+    found = [(1, 5, 1, mark(1, 2) ^ mark(1, 3), mark(1, 3)), (2, None, 1, 0, mark(1, 2)), (3, 1, 1, mark(1, 3), mark(1, 3)), (4, 7, 4, mark(4, 5), mark(4, 5)), (5, 6, 4, mark(4, 5), mark(4, 5))]
+    members = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 6), (5, 7)], "rep long, copies long")
+    asked = []
+
+    def answers(graphs, queries, shards, n, beam, least, pairs):
+        asked.extend(r.rep for r in queries.collect())
+        return spark.createDataFrame([(1, 2, 2), (1, 3, 3)], "rep long, other long, copies long")
+
+    monkeypatch.setattr(hnsw, "_answers", answers)
+    told = hnsw._counts(spark.createDataFrame(found, "rep long, linked long, root long, named long, told long"), None, members, 4, 5, 32, 0.95)
+    assert {r.rep: r.others for r in told.collect()} == {1: 5, 2: 1, 3: 1, 4: 7, 5: 6}
+    assert sorted(asked) == [1, 2]
+
+
+def test_several_vectors_under_one_id(spark):
+    a, b, c = [1.0] + [0.0] * 7, [0.0, 1.0] + [0.0] * 6, [0.0, 0.0, 1.0] + [0.0] * 5
+    rows = [(5, a, 1, "c"), (5, b, 1, "c"), (7, a, 1, "c"), (9, b, 1, "c"), (11, c, 1, "c")]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (9, 1, 5, False), (11, 0, 11, True)]
+    rows = [(0, a, 1, "c"), (0, [0.0, 2.0] + [0.0] * 6, 1, "c"), (7, a, 1, "c"), (7, b, 1, "c"), (9, c, 1, "c"), (9, c, 1, "c")]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(frame(spark, rows)).orderBy("rank").collect()]
+    assert got == [(0, 1, 7, 2.0), (0, 2, 9, 0.0)]
+
+
 def test_vectors_without_id_and_none_at_all(spark):
     rows = [(None, [1.0] * 8, 1, "c"), (4, [1.0] * 8, 1, "c"), (4, [1.0] * 8, 1, "c"), (9, [1.0] * 8, 1, "c")]
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in hnsw.near_duplicates(frame(spark, rows)).collect())
-    assert got == [("4", 1, "4", True), ("4", 1, "4", True), ("9", 1, "4", False), ("None", 0, "None", True)]
+    assert got == [("4", 3, "4", True), ("4", 3, "4", True), ("9", 3, "4", False), ("None", 3, "4", False)]
     assert hnsw.near_duplicates(frame(spark, [])).count() == 0
 
 
@@ -153,11 +181,32 @@ def test_an_outlier_query_gets_all_its_rows(spark):
 
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(6)
-    code = rng.integers(0, 256, (500, 4)).astype(np.uint8)
-    index = ann.SubstringIndex(code)
-    for radius in (0, 3, 7, 12):
-        true = np.flatnonzero(np.bitwise_count(code ^ code[7]).sum(axis=1) <= radius)
-        assert index.within(code[7], radius).tolist() == true.tolist()
+    for top, parts in ((256, 4), (1 << 16, 4), (64, 3)):
+        code = rng.integers(0, top, (500, parts)).astype(np.uint16)
+        code[100:140] = code[7] ^ (1 << rng.integers(0, 6, (40, parts))).astype(np.uint16)
+        index = ann.SubstringIndex(code)
+        for radius in (0, 1, 2, 3, 7, 12, 30, 64):
+            true = np.flatnonzero(np.bitwise_count(code ^ code[7]).sum(axis=1) <= radius)
+            assert index.within(code[7], radius).tolist() == true.tolist()
+
+
+def test_probing_reads_a_small_share_where_neighbours_are_close():
+    rng = np.random.default_rng(16)
+    centers = rng.standard_normal((400, 32))
+    vectors = centers[rng.integers(0, 400, 20_000)] + 0.15 * rng.standard_normal((20_000, 32))
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    longest = float(np.linalg.norm(vectors.astype(float), axis=1).max()) * (1 + 1e-9)
+    projection = ann.learn(ann.lifted(vectors[:5000], longest))
+    width = ann.substring_bits(len(vectors))
+    index = ann.SubstringIndex(ann.codes(vectors, longest, projection, width))
+    queries = vectors[:40]
+    own = ann.codes(queries / np.linalg.norm(queries, axis=1, keepdims=True), 1.0, projection, width)
+    products = queries.astype(float) @ vectors.T.astype(float)
+    true = np.argsort(-products, axis=1)[:, :20]
+    far = np.bitwise_count(index.code[None] ^ own[:, None]).sum(axis=2)
+    radius = int(np.quantile(np.take_along_axis(far, true, axis=1), 0.95, method="higher"))
+    hit = sum(len(np.intersect1d(index.within(bits, radius), t)) for bits, t in zip(own, true))
+    assert hit >= 0.95 * true.size and index.probed < 0.3 * len(queries) * len(vectors)
 
 
 # urls

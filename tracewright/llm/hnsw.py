@@ -5,13 +5,15 @@ every shard. Queries walk a graph side by side, each with a beam of the best nod
 audit passes: classes drawn by a hash, until LEAST_LINKED of them have links or none is left, are answered by brute
 force, and at least TARGET of those with links must have found all of them. Where no beam passes, or all classes were
 drawn, every class is answered by brute force. A query whose whole beam is linked has more links than its beam holds; it is answered by an exact
-scan of the shard in blocks. Links are verified by cosine in double precision. Each task hands on a spanning forest of
-its links, not the links, and the forests are united into components.
+scan of the shard in blocks. Links are verified by cosine in double precision. Graphs are written once; a task loads
+its shard's graph and the queries stream past it. Each task hands on a spanning forest of its links, not the links,
+and the forests are united into components. A link counts on both sides, whichever side found it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.components import connected_components
-from tracewright.llm.vectors import matrix, normalized, one_per_id
+from tracewright.llm.vectors import cleaned, matrix, normalized, past_shards
 from tracewright.scratch import stash
 
 LEAST_COSINE = 0.95
@@ -33,7 +35,6 @@ LEAST_LINKED = 200
 DRAWS = 1 << 30
 LEAST_SHARDS = 4
 VECTORS_PER_SHARD = 100_000
-QUERIES_PER_BLOCK = 20_000
 SIDE_BY_SIDE = 256
 VISIT_BYTES = 1 << 25
 SLACK = 1e-5
@@ -102,17 +103,23 @@ class Graph:
         return chosen
 
     def _link_back(self, sources: np.ndarray, chosen: np.ndarray, layer: int) -> None:
-        links = self.links[layer]
         to, by = chosen.ravel(), np.repeat(sources, chosen.shape[1]).astype(np.int32)
         to, by = to[to >= 0], by[to >= 0]
         order = np.argsort(to, kind="stable")
         to, by = to[order], by[order]
         nodes, first, many = np.unique(to, return_index=True, return_counts=True)
-        width = int(min(many.max(initial=0), 4 * links.shape[1]))
-        place = np.arange(len(to)) - np.repeat(first, many)
-        incoming = np.full((len(nodes), width), _NONE, np.int32)
-        fits = place < width
-        incoming[np.repeat(np.arange(len(nodes)), many)[fits], place[fits]] = by[fits]
+        usual = many <= 4 * self.links[layer].shape[1]
+        self._take_in(nodes[usual], first[usual], many[usual], by, layer)
+        for hub in np.flatnonzero(~usual).tolist():  # named by very many at once: alone, so that the others need not be as wide
+            self._take_in(nodes[hub : hub + 1], first[hub : hub + 1], many[hub : hub + 1], by, layer)
+
+    def _take_in(self, nodes: np.ndarray, first: np.ndarray, many: np.ndarray, by: np.ndarray, layer: int) -> None:
+        """Each of `nodes` weighs those who link to it, by[first] to by[first + many], with its own links."""
+        if not len(nodes):
+            return
+        links, width = self.links[layer], int(many.max())
+        at = first[:, None] + np.arange(width)
+        incoming = np.where(np.arange(width) < many[:, None], by[np.minimum(at, len(by) - 1)], _NONE).astype(np.int32)
         held = links[nodes]
         free = (held < 0).sum(axis=1)
         known = (incoming[:, :, None] == held[:, None, :]).any(axis=2) & (incoming >= 0)
@@ -181,8 +188,11 @@ class Graph:
             ids, sims = self.nearest(block, beam)
             full = (sims[:, -1] >= least) & (ids.shape[1] < len(self.vectors))
             rows = [i[s >= least] for i, s in zip(ids, sims)]
-            for r in np.flatnonzero(full):
-                rows[r] = np.flatnonzero(self.vectors @ block[r] >= least)
+            whole = np.flatnonzero(full)
+            for some in np.array_split(whole, -(-len(whole) // 32) or 1):
+                near = block[some] @ self.vectors.T >= least
+                for r, hits in zip(some.tolist(), near):
+                    rows[r] = np.flatnonzero(hits)
             out += rows
         return out
 
@@ -200,70 +210,88 @@ def _thawed(parts: list[bytes], vectors: np.ndarray) -> Graph:
 
 
 def _graphs(members: DataFrame) -> DataFrame:
-    """(shard, rep, embedding, copies, parts): a row per shard with its members in order and its graph."""
+    """(shard, parts): a row per shard with its members' numbers, copies and vectors and its graph."""
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
-        graph = Graph(normalized(matrix(table.column("embedding"))))
-        listed = lambda c: pa.array([table.column(c).to_pylist()])
-        flat = pa.array([table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).tobytes()], pa.binary())
-        return pa.table({"shard": table.column("shard").slice(0, 1), "reps": listed("rep"), "copies": listed("copies"), "vectors": flat, "parts": pa.array([_frozen(graph)], pa.list_(pa.binary()))})
-
-    return members.select("shard", "rep", "copies", "embedding").groupBy("shard").applyInArrow(build, "shard int, reps array<long>, copies array<long>, vectors binary, parts array<binary>")
-
-
-def _cosine_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.einsum("kd,kd->k", a, b)
-
-
-def _answers(graphs: DataFrame, queries: DataFrame, shards: int, n_queries: int, beam: int | None, least: float) -> DataFrame:
-    """(rep, linked, root) of every class touched in each task: copies in linked classes, and its root in the task's forest.
-
-    `beam` None answers by brute force. A row with linked null only tells a member's root.
+        vectors = matrix(table.column("embedding"))
+        held = [table.column("rep").to_numpy().astype(np.int64).tobytes(), table.column("copies").to_numpy().astype(np.int64).tobytes(), vectors.tobytes()]
+        parts = [*held, *_frozen(Graph(normalized(vectors)))]
+        return pa.table({"shard": table.column("shard").slice(0, 1), "parts": pa.array([parts], pa.list_(pa.binary()))})
+
+    return members.select("shard", "rep", "copies", "embedding").groupBy("shard").applyInArrow(build, "shard int, parts array<binary>")
+
+
+def _pair_mark(a: int, others: np.ndarray) -> np.ndarray:
+    """A number for each unordered pair, so that the links named from either side can be told apart by their xor."""
+    low, high = np.minimum(others, a).astype(np.uint64), np.maximum(others, a).astype(np.uint64)
+    mark = (low * np.uint64(0x9E3779B97F4A7C15) + high + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    mark ^= mark >> np.uint64(32)
+    mark *= np.uint64(0xFF51AFD7ED558CCD)
+    return (mark ^ mark >> np.uint64(29)).view(np.int64)
+
+
+class _Links:
+    """One shard's answers: counts of linked copies and a spanning forest, or the links themselves."""
+
+    def __init__(self, parts: list[bytes], beam: int | None, least: float, pairs: bool):
+        self.beam, self.least, self.pairs = beam, least, pairs
+        self.reps, self.copies = (np.frombuffer(p, np.int64) for p in parts[:2])
+        self.own = normalized(np.frombuffer(parts[2], np.float32).reshape(len(self.reps), -1))
+        self.graph = None if beam is None else _thawed(parts[3:], self.own)
+        self.parent: dict[int, int] = {}
+        self.counts: dict[int, int] = {}
+        self.named: dict[int, int] = {}  # xor of the marks of links that a class found
+        self.told: dict[int, int] = {}  # the same of links that others found to it
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def ask(self, ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        unit, least = normalized(vectors), self.least
+        if self.graph is None:
+            found = (np.flatnonzero(s >= least - SLACK) for at in range(0, len(unit), 64) for s in unit[at : at + 64] @ self.own.T)
+        else:
+            found = iter(self.graph.linked(unit, self.beam, least - SLACK))
+        for rep, vector, nodes in zip(ids.tolist(), unit, found):
+            nodes = nodes[self.reps[nodes] != rep]
+            nodes = nodes[self.own[nodes] @ vector >= least - 1e-12]
+            nodes = nodes[np.einsum("kd,d->k", self.own[nodes], vector) >= least]
+            if not len(nodes):
+                continue
+            others = self.reps[nodes]
+            if self.pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), rep, np.int64)), pa.array(others), pa.array(self.copies[nodes])], ["rep", "other", "copies"])
+                continue
+            self.counts[rep] = int(self.copies[nodes].sum())
+            marks = _pair_mark(rep, others)
+            self.named[rep] = int(np.bitwise_xor.reduce(marks))
+            for other, mark in zip(others.tolist(), marks.tolist()):
+                self.told[other] = self.told.get(other, 0) ^ mark
+                a, b = self.root(rep), self.root(other)
+                self.parent[max(a, b)] = min(a, b)
+
+    def done(self) -> Iterator[pa.RecordBatch]:
+        if not self.pairs:
+            touched = sorted(self.parent)
+            columns = [touched, [self.counts.get(x) for x in touched], [self.root(x) for x in touched], [self.named.get(x, 0) for x in touched], [self.told.get(x, 0) for x in touched]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "linked", "root", "named", "told"])
+
+
+def _answers(graphs: DataFrame, queries: DataFrame, shards: int, n_queries: int, beam: int | None, least: float, pairs: bool = False) -> DataFrame:
+    """(rep, linked, root, named, told) of every class touched in each task: copies in linked classes, its root in the
+    task's forest, and marks of the links that it found and that others found to it; or the links (rep, other, copies).
+
+    `beam` None answers by brute force. A row with linked null only tells a member's root and marks.
     """
-    blocks = max(1, -(-n_queries // QUERIES_PER_BLOCK))
-    block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
-    held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.select(F.col("rep").alias("asked"), F.col("embedding").alias("vector"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"))
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        touched: list[tuple[int, int | None, int]] = []
-        if left.num_rows and right.num_rows:
-            reps = np.array(left.column("reps")[0].as_py(), np.int64)
-            copies = np.array(left.column("copies")[0].as_py(), np.int64)
-            own = normalized(np.frombuffer(left.column("vectors")[0].as_py(), np.float32).reshape(len(reps), -1))
-            asked_reps, vectors = right.column("asked").to_numpy(), normalized(matrix(right.column("vector")))
-            graph = _thawed(left.column("parts")[0].as_py(), own)
-            if beam is None:
-                found = []
-                for at in range(0, len(vectors), 64):
-                    found += [np.flatnonzero(s >= least - SLACK) for s in vectors[at : at + 64] @ own.T]
-            else:
-                found = graph.linked(vectors, beam, least - SLACK)
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                parent.setdefault(x, x)
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            counts: dict[int, int] = {}
-            for rep, vector, nodes in zip(asked_reps.tolist(), vectors, found):
-                nodes = nodes[reps[nodes] != rep]
-                nodes = nodes[_cosine_pairs(own[nodes], np.broadcast_to(vector, (len(nodes), len(vector)))) >= least]
-                if not len(nodes):
-                    continue
-                counts[rep] = int(copies[nodes].sum())
-                for other in reps[nodes].tolist():
-                    a, b = root(rep), root(other)
-                    parent[max(a, b)] = min(a, b)
-            touched = [(x, counts.get(x), root(x)) for x in sorted(parent)]
-        rep, linked, roots = zip(*touched) if touched else ((), (), ())
-        return pa.table({"rep": pa.array(rep, pa.int64()), "linked": pa.array(linked, pa.int64()), "root": pa.array(roots, pa.int64())})
-
-    return held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(answer, "rep long, linked long, root long")
+    asked = queries.select(F.col("rep").alias("id"), F.col("embedding").alias("vector"))
+    schema = "rep long, other long, copies long" if pairs else "rep long, linked long, root long, named long, told long"
+    return past_shards(graphs, asked, shards, n_queries, lambda parts: _Links(parts, beam, least, pairs), schema)
 
 
 def _recall(found: DataFrame, true: DataFrame) -> float:
@@ -293,29 +321,53 @@ def _audited(graphs: DataFrame, members: DataFrame, shards: int, n: int, least:
         low, size = high, 4 * size
 
 
+def _counts(found: DataFrame, graphs: DataFrame, members: DataFrame, shards: int, n: int, beam: int | None, least: float) -> DataFrame:
+    """(rep, others): copies in the classes linked with each class, from whichever side a link was found.
+
+    Classes for which the links that they found and those that others found to them differ ask again, and their links
+    are counted from both sides.
+    """
+    told = found.groupBy("rep").agg(F.sum("linked").alias("others"), F.bit_xor("named").alias("named"), F.bit_xor("told").alias("told"))
+    if beam is None:
+        return told.where("others is not null").select("rep", "others")
+    uneven = stash(told.where("named != told").select("rep"), "uneven")
+    if uneven.isEmpty():
+        return told.where("others is not null").select("rep", "others")
+    again = members.join(uneven, "rep", "left_semi")
+    links = stash(_answers(graphs, again, shards, n, beam, least, True).select("rep", "other", "copies").join(members.select("rep", F.col("copies").alias("own")), "rep"), "links")
+    both = links.select("rep", "other", "copies").unionByName(links.select(F.col("other").alias("rep"), F.col("rep").alias("other"), F.col("own").alias("copies"))).join(uneven, "rep", "left_semi")
+    mended = both.dropDuplicates(["rep", "other"]).groupBy("rep").agg(F.sum("copies").alias("others"))
+    return told.where("others is not null").join(uneven, "rep", "left_anti").select("rep", "others").unionByName(mended)
+
+
 def near_duplicates(rows: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of `rows` (vec_id, embedding).
 
-    Vectors that are null, zero, not finite or of another length than most link with nothing and are kept. Of several
-    rows with one vec_id the smallest vector counts and all get its result; a row without vec_id has no links and no
-    component, and is kept. An empty table gives an empty table.
+    Vectors that are null, zero, not finite or of another length than most link with nothing and are kept. Every row is
+    a vector of its own, also where several have one vec_id; a component's id is the smallest vec_id of its rows, null
+    where none has one, and then all of them are kept. An empty table gives an empty table.
     """
-    vectors = stash(one_per_id(rows), "vectors")
-    classes = stash(vectors.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    vectors = stash(cleaned(rows), "vectors")
+    classes = vectors.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    classes = stash(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     shards = max(LEAST_SHARDS, -(-n // VECTORS_PER_SHARD))
     members = classes.select("rep", "embedding", "copies", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"))
     graphs = stash(_graphs(members), "graphs")
     audit, true, drawn = _audited(graphs, members, shards, n, least)
+    beam = None
     if drawn == n:
         found = true
     else:
-        passing = (beam for beam in BEAMS if _recall(_answers(graphs, audit, shards, drawn, beam, least), true) >= TARGET)
-        found = stash(_answers(graphs, members, shards, n, next(passing, None), least), "found")
-    counts = found.where("linked is not null").groupBy("rep").agg(F.sum("linked").alias("others"))
+        passing = (b for b in BEAMS if _recall(_answers(graphs, audit, shards, drawn, b, least), true) >= TARGET)
+        beam = next(passing, None)
+        found = stash(_answers(graphs, members, shards, n, beam, least), "found")
+    counts = _counts(found, graphs, members, shards, n, beam, least)
     parts = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    told = vectors.join(classes, "embedding").select("rep", "copies", "vec_id").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    told = told.select("vec_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
-    every = rows.select(F.col("vec_id").cast("long").alias("vec_id")).join(told, "vec_id", "left")
-    component = F.coalesce("c", "vec_id")
-    return every.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    labelled = classes.join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left").select("rep", "embedding", "first_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
+    smallest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    told = labelled.join(smallest, "component").select("embedding", "n", "component_id")
+    every = vectors.join(told, "embedding", "left")
+    alone = F.col("embedding").isNull()
+    component = F.when(alone, F.col("vec_id")).otherwise(F.col("component_id"))
+    return every.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), component.isNull()).alias("kept"))
