@@ -238,22 +238,35 @@ def test_judgements_against_brute_force(spark):
         assert (r.host, r.path, r.rule, r.verdict) == brute_judge(urls[r.page_id if r.page_id is not None else 6], URL_RULES)
 
 
-def test_a_list_too_large_to_broadcast_is_joined(spark, monkeypatch):
-    urls = [None, "http://a.net/x", "http://example.net/en/y", "http://b.org/", "http://b.org/fr/"]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, urls[1])], "page_id long, url string")
-    want = sorted(map(str, url_filter.judged(pages, URL_RULES).collect()))
-    monkeypatch.setattr(url_filter, "MAX_BITS", 0)
-    assert sorted(map(str, url_filter.judged(pages, URL_RULES).collect())) == want
+def test_a_long_list_is_dealt_into_parts(spark):
+    rng = random.Random(9)
+    hosts = [f"h{i}.{rng.choice(['net', 'org'])}" for i in range(2500)]
+    rules = [url_filter.Rule(rng.choice(["allow", "block"]), h, "/") for h in rng.sample(hosts, 900)] + URL_RULES
+    urls = [None, "http://example.net/en/y", *[f"http://{rng.choice(['', 'a.'])}{h}/x" for h in hosts]]
+    pages = spark.createDataFrame([*enumerate(urls), (None, urls[1])], "page_id long, url string")
+    want = {i: brute_judge(u, rules) for i, u in [*enumerate(urls), (None, urls[1])]}
+    got = url_filter.judged(pages, rules, part_bits=2000).collect()
+    assert {r.page_id: tuple(r)[1:] for r in got} == want and len(got) == len(urls) + 1
+    assert url_filter._bits(400, 2500) > 2 * 2000
 
 
 def test_cascade_is_exact_for_its_universe(spark):
-    keys = [f"host{i}.net/" for i in range(3000)]
-    listed, universe = keys[::7], keys
-    levels = url_filter.build_cascade(spark.createDataFrame([(k,) for k in listed], "key string"), spark.createDataFrame([(k,) for k in universe], "key string"))
-    assert len(levels) > 2
-    df = spark.createDataFrame([(k,) for k in keys], "key string")
-    got = {r.key for r in df.where(url_filter.member(levels, df.key)).collect()}
-    assert got == set(listed)
+    for n, every in ((3000, 7), (40_000, 2), (50, 50)):
+        keys = spark.range(n).select("id", url_filter.key_hashes(F.concat(F.lit("host"), "id", F.lit(".net/"))).alias("hashes"))
+        inside, outside = keys.where(f"id % {every} = 0").select("hashes"), keys.where(f"id % {every} != 0").select("hashes")
+        levels = url_filter.build_cascade(inside, outside)
+        rows = keys.orderBy("id").collect()
+        got = url_filter.member(levels, np.array([r.hashes for r in rows], np.int64))
+        assert got.tolist() == [r.id % every == 0 for r in rows]
+        assert n < 1000 or len(levels) > 2
+
+
+def test_a_level_of_two_to_the_26_bits_is_used_in_no_time():
+    level = url_filter.Level(1 << 26, 4, np.random.default_rng(2).integers(0, 1 << 63, 1 << 20).astype(np.uint64))
+    hashes = np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, (100_000, 2))
+    at = url_filter.positions(hashes, 0, level.bits, 4)
+    want = [all(int(level.words[x // 64]) >> (x % 64) & 1 for x in row) for row in at[:500].tolist()]
+    assert url_filter.holds(level, 0, hashes)[:500].tolist() == want
 
 
 def test_no_pages_and_no_rules(spark):
