@@ -206,6 +206,29 @@ def test_repeats_against_brute_force(spark):
             assert hashlib.sha256(cut[doc_id].encode()).hexdigest() == sha
 
 
+def test_matches_with_others_than_the_leader(spark):
+    """Documents that share more with each other than with the smallest one, and anchors that stand twice in a document."""
+    rng = random.Random(41)
+    core, more = prose(rng, 55, 10**6), prose(rng, 70, 10**6)
+    texts = [f"{prose(rng, 9)} {core} {prose(rng, 60, 10**6)}", f"{core} {more}", f"x {core} {more}", f"{core} q {core} {more} {core}", f"{more} {core}", f"{more} {core} {more[:200]}"]
+    head, tail = core.split()[:30], core.split()[30:]
+    for _ in range(12):
+        left, right = prose(rng, 25, 3), prose(rng, 25, 3)
+        texts.append(" ".join([left, *head, *tail, right]))
+        texts.append(" ".join([left, *head, "gap", *tail, right] if rng.random() < 0.4 else [right, *core.split(), left]))
+    rng.shuffle(texts)
+    got = sorted(tuple(r) for r in substring.repeats(table(spark, texts)).collect())
+    assert got == brute_repeats(list(enumerate(texts)))
+    assert sum(r[2] > 0 for r in got) > 10
+
+
+def test_words_that_two_runs_share():
+    a = np.arange(9, dtype=np.uint64).tobytes()
+    assert substring.agreeing(a, a) == 9 and substring.agreeing(a, a[:24]) == 3 and substring.agreeing(a, b"") == 0
+    b = np.array([0, 1, 7, 3], np.uint64).tobytes()
+    assert substring.agreeing(a, b) == substring.agreeing(b, a) == 2
+
+
 def test_repeats_with_null_and_repeated_ids(spark):
     text = prose(random.Random(2), 80, 10**6)
     rows = [(None, text), (5, text), (5, text), (9, "z " + text)]

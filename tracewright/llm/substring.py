@@ -1,11 +1,13 @@
 """Substring dedup by seed and extend.
 
 Seeds are winnowed anchors: of every WINDOW - GRAM + 1 consecutive word GRAM-grams the one with the smallest hash is
-kept, so that two documents which share WINDOW consecutive words keep the same anchor within them. Anchors that
-only one document has are dropped. Around every other anchor the match is extended both ways over all windows that
-hold it; a window that another document with a smaller doc_id has too is repeated, and the union of repeated windows
-is the maximal run to cut. Windows meet by a 128-bit hash and are reduced to their smallest document before they are
-looked up again, so a passage that very many documents share costs one row for each of them, not one for each pair.
+kept, so that two documents which share WINDOW consecutive words keep the same anchor within them. Documents are
+joined on their anchors: every occurrence meets its anchor's leader, the first occurrence in the smallest document,
+so that a passage which very many documents share costs a row for each of them, not one for each pair. From the
+anchor the match with the leader is extended word by word both ways, as far as a window around the anchor can reach,
+and a maximal match of WINDOW words or more is repeated. Where a match ends before that, another document may share
+more than the leader does: the windows beyond the maximal match meet those of the other occurrences of the anchor by
+a 128-bit hash, reduced to their smallest document. What is cut is the union of all repeats.
 """
 
 from __future__ import annotations
@@ -70,11 +72,11 @@ def anchors(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[
     return chosen, grams[chosen]
 
 
-def covered(starts: np.ndarray, n: int, span: int) -> np.ndarray:
-    """Which of `n` words lie in a run of `span` words from one of `starts`."""
+def covered(first: np.ndarray, until: np.ndarray, n: int) -> np.ndarray:
+    """Which of `n` words lie in one of the runs from `first` up to `until`."""
     edges = np.zeros(n + 1, np.int64)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, np.minimum(starts + span, n), -1)
+    np.add.at(edges, first, 1)
+    np.add.at(edges, until, -1)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -100,45 +102,83 @@ def _surveyed(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return _identified(docs, "doc_id").mapInArrow(per_batch, "doc_id long, ord long, digest binary, n_words long, full_sha256 string, anchors array<long>, places array<int>")
 
 
-def _windows(affected: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h1, h2, ord, digest, start) for each window that holds one of the document's seeds."""
+def _occurrences(seeded: DataFrame, window: int, gram: int) -> DataFrame:
+    """(anchor, ord, digest, place, before, after) per occurrence of a shared anchor: its hashed words as far as a window reaches, as 64-bit numbers, those before it backwards."""
+    reach = window - gram
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ords, digests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for ord_, digest, text, seeds in zip(ords, digests, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for ord_, digest, text, anchors_, places in zip(ords, digests, *(batch.column(i).to_pylist() for i in (2, 3, 4))):
                 hashes = word_hashes(words_of(text))
-                n = len(hashes) - window + 1
-                seeds = np.array(seeds, np.int64)
-                first = np.maximum(seeds - (window - gram), 0)
-                starts = np.flatnonzero(_between(first, np.minimum(seeds + 1, n), n))
-                columns = [run_hashes(hashes, window, which)[starts].view(np.int64) for which in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(np.full(len(starts), ord_, np.int64)), pa.array([digest] * len(starts), pa.binary()), pa.array(starts.astype(np.int32))], ["h1", "h2", "ord", "digest", "start"])
+                before = [hashes[max(p - reach, 0) : p][::-1].tobytes() for p in places]
+                after = [hashes[p : p + window].tobytes() for p in places]
+                n = len(places)
+                columns = [pa.array(anchors_, pa.int64()), pa.array(np.full(n, ord_, np.int64)), pa.array([digest] * n, pa.binary()), pa.array(places, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "ord", "digest", "place", "before", "after"])
 
-    return affected.select("ord", "digest", "_text", "seeds").mapInArrow(per_batch, "h1 long, h2 long, ord long, digest binary, start int")
+    return seeded.select("ord", "digest", "_text", "anchors", "places").mapInArrow(per_batch, "anchor long, ord long, digest binary, place int, before binary, after binary")
 
 
-def _between(first: np.ndarray, until: np.ndarray, n: int) -> np.ndarray:
-    edges = np.zeros(n + 1, np.int64)
-    np.add.at(edges, first, 1)
-    np.add.at(edges, until, -1)
-    return np.cumsum(edges[:-1]) > 0
+def agreeing(a: bytes, b: bytes) -> int:
+    """How many words two runs share from their start on."""
+    n = min(len(a), len(b)) // 8
+    if a[: 8 * n] == b[: 8 * n]:
+        return n
+    x, y = np.frombuffer(a, np.uint64, n), np.frombuffer(b, np.uint64, n)
+    return int(np.argmax(x != y))
+
 
+def _extended(met: DataFrame, window: int) -> DataFrame:
+    """(anchor, ord, digest, first, until, h1, h2, starts): the maximal match of each occurrence with its leader, null
+    where it is shorter than a window or of the leader's own document; and the windows around the anchor beyond it."""
 
-def _cut(affected: DataFrame, window: int, with_text: bool) -> DataFrame:
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, until, hashes, starts = [], [], ([], []), []
+            lists = [batch.column(i).to_pylist() for i in (1, 3, 4, 5, 6, 7, 8)]
+            for ord_, place, before, after, lead_ord, lead_before, lead_after in zip(*lists):
+                left, right = agreeing(before, lead_before), agreeing(after, lead_after)
+                whole = left + right >= window
+                tells = whole and ord_ > lead_ord
+                first.append(place - left if tells else None)
+                until.append(place + right if tells else None)
+                n_before = len(before) // 8
+                n = n_before + len(after) // 8
+                from_, count = place - n_before, n - window + 1
+                beyond = np.ones(max(count, 0), bool)
+                if whole:  # windows within the match are settled
+                    beyond[n_before - left : n_before + right - window + 1] = False
+                at = np.flatnonzero(beyond)
+                if len(at):
+                    words = np.concatenate((np.frombuffer(before, np.uint64)[::-1], np.frombuffer(after, np.uint64)))
+                    for which in (0, 1):
+                        hashes[which].append(run_hashes(words, window, which)[at].view(np.int64))
+                else:
+                    for which in (0, 1):
+                        hashes[which].append(np.zeros(0, np.int64))
+                starts.append((at + from_).astype(np.int32))
+            listed = [pa.array(h, pa.list_(pa.int64())) for h in hashes]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(first, pa.int32()), pa.array(until, pa.int32()), *listed, pa.array(starts, pa.list_(pa.int32()))], ["anchor", "ord", "digest", "first", "until", "h1", "h2", "starts"])
+
+    columns = ("anchor", "ord", "digest", "place", "before", "after", "lead_ord", "lead_before", "lead_after")
+    return met.select(*columns).mapInArrow(per_batch, "anchor long, ord long, digest binary, first int, until int, h1 array<long>, h2 array<long>, starts array<int>")
+
+
+def _cut(affected: DataFrame, with_text: bool) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, shas, texts = [], [], []
-            for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for text, first, until in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
                 words = words_of(text)
-                gone = covered(np.array(starts, np.int64), len(words), window)
+                gone = covered(np.array(first, np.int64), np.array(until, np.int64), len(words))
                 kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
                 removed.append(int(gone.sum()))
                 shas.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept.decode("utf-8", "surrogatepass") if with_text else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(removed, pa.int64()), pa.array(shas), pa.array(texts, pa.string())], ["ord", "digest", "cut", "cut_sha256", "cut_text"])
 
-    return affected.select("ord", "digest", "_text", "starts").mapInArrow(per_batch, "ord long, digest binary, cut long, cut_sha256 string, cut_text string")
+    return affected.select("ord", "digest", "_text", "first", "until").mapInArrow(per_batch, "ord long, digest binary, cut long, cut_sha256 string, cut_text string")
 
 
 def _found(docs: DataFrame, window: int, gram: int, with_text: bool) -> DataFrame:
@@ -150,12 +190,21 @@ def _found(docs: DataFrame, window: int, gram: int, with_text: bool) -> DataFram
     grams = survey.where(F.size("anchors") > 0).join(copies, ["ord", "digest"], "left_anti").select("ord", "digest", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("ord", "digest", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
     # Written out, so that in the join below both sides are plain exchanges, which Spark splits where a key is hot.
     shared = stash(grams.groupBy("anchor").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select("anchor"), "shared")
-    seeds = grams.join(shared, "anchor").groupBy("ord", "digest").agg(F.collect_set("place").alias("seeds"))
-    affected = stash(_identified(docs).join(seeds, ["ord", "digest"]).select("ord", "digest", "_text", "seeds"), "affected")
-    windows = _windows(affected, window, gram)
-    earliest = stash(windows.groupBy("h1", "h2").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select("h1", "h2", "low"), "earliest")
-    repeated = windows.join(earliest, ["h1", "h2"]).where("ord > low").groupBy("ord", "digest").agg(F.collect_set("start").alias("starts"))
-    cut = _cut(affected.select("ord", "digest", "_text").join(repeated, ["ord", "digest"]), window, with_text).dropDuplicates(["ord", "digest"])
+    seeds = grams.join(shared, "anchor").groupBy("ord", "digest").agg(F.collect_set(F.struct("anchor", "place")).alias("seeds"))
+    seeded = _identified(docs).join(seeds, ["ord", "digest"]).select("ord", "digest", "_text", F.col("seeds.anchor").alias("anchors"), F.col("seeds.place").alias("places"))
+    occurring = stash(_occurrences(seeded, window, gram), "occurrences")
+    leader = F.min(F.struct("ord", "digest", "place", "before", "after")).alias("lead")
+    leaders = stash(occurring.groupBy("anchor").agg(leader).select("anchor", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("ord", "digest", "place", "before", "after")]), "leaders")
+    met = occurring.join(leaders, "anchor").where("ord != lead_ord or digest != lead_digest or place != lead_place")
+    extended = stash(_extended(met, window), "extended")
+    repeated = extended.where("first is not null").select("ord", "digest", "first", "until")
+    beyond = extended.where(F.size("starts") > 0).select("ord", "digest", F.explode(F.arrays_zip("h1", "h2", "starts")).alias("w"))
+    beyond = beyond.select("ord", "digest", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"), F.col("w.starts").alias("start"))
+    earliest = stash(beyond.groupBy("h1", "h2").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select("h1", "h2", "low"), "earliest")
+    others = beyond.join(earliest, ["h1", "h2"]).where("ord > low").select("ord", "digest", F.col("start").alias("first"), (F.col("start") + window).alias("until"))
+    runs = repeated.unionByName(others).groupBy("ord", "digest").agg(F.collect_set(F.struct("first", "until")).alias("runs"))
+    affected = _identified(docs).join(runs, ["ord", "digest"]).select("ord", "digest", "_text", F.col("runs.first").alias("first"), F.col("runs.until").alias("until"))
+    cut = _cut(affected, with_text).dropDuplicates(["ord", "digest"])
     told = survey.select("doc_id", "ord", "digest", "n_words", "full_sha256")
     joined = told.join(cut, ["ord", "digest"], "left").join(copies.withColumn("copy", F.lit(True)), ["ord", "digest"], "left")
     copy = F.coalesce("copy", F.lit(False))
