@@ -154,6 +154,38 @@ def test_grams_are_the_same_wherever_they_stand():
     assert len(set(a.tolist()) & set(b.tolist())) >= 3 + 2 + 1
 
 
+def test_ratios_and_fit_against_a_plain_computation(spark):
+    rng = random.Random(17)
+    texts = [(prose(rng, 12, 40) + (" vile brute" if i % 5 == 0 else " kind words" if i % 3 else ""), int(i % 5 == 0)) for i in range(80)]
+    sample = spark.createDataFrame(texts, "text string, toxic int")
+    counts = toxicity._document_counts(sample).toArrow()
+    held = [set(toxicity.gram_buckets(t).tolist()) for t, _ in texts]
+    plain = {b: (sum(b in h for h, (_, y) in zip(held, texts) if y), sum(b in h for h, (_, y) in zip(held, texts) if not y)) for b in set().union(*held)}
+    assert {r["bucket"]: (r["toxic"], r["other"]) for r in counts.to_pylist()} == plain
+    n1, n0 = sum(y for _, y in texts), sum(1 - y for _, y in texts)
+    place, ratios = toxicity._choose(counts, n1, n0)
+    assert len(ratios) > 5
+    for bucket in np.flatnonzero(place >= 0).tolist():
+        c1, c0 = plain[bucket]
+        s1, s0 = toxicity.SMOOTHING * n1 / n0, toxicity.SMOOTHING
+        assert ratios[place[bucket]] == pytest.approx(np.log((c1 + s1) / n1) - np.log((c0 + s0) / n0))
+    rows, features = toxicity._found([t for t, _ in texts], place)
+    y = np.array([y for _, y in texts], float)
+    weights, bias = toxicity._fit(rows, features, y, ratios, steps=4000)
+    scaled = np.zeros((len(texts), len(ratios)))
+    scaled[rows, features] = ratios[features]
+    error = 1 / (1 + np.exp(-(scaled @ (weights / ratios) + bias))) - y
+    gradient = np.append(scaled.T @ error + toxicity.RIDGE * weights / ratios, error.sum())
+    assert np.abs(gradient).max() < 1e-3  # the only minimum of a convex loss
+
+
+def test_few_labelled_rows_still_teach(spark):
+    rows = [(i, "what a vile brute" if i % 2 else "a kind word for all") for i in range(16)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.judged(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert all((got[i] > got[i + 1]) == bool(i % 2) for i in range(15))
+
+
 def test_toxicity_of_hard_rows(spark):
     docs = table(spark, EDGES)
     labels = spark.createDataFrame([(3, None), (None, 1), (4, 1), (4, 0), (6, 0), (7, 0), (9, 0)], "doc_id long, toxic int")

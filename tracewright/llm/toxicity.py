@@ -22,7 +22,6 @@ from tracewright.scratch import fresh, stash
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
 MAX_TRAINING_ROWS = 20_000
-MAX_FEATURES = 4096
 LEAST_Z = 5.0
 SMOOTHING = 4.0
 RIDGE = 2.0
@@ -101,14 +100,18 @@ def _document_counts(sample: DataFrame) -> DataFrame:
 
 
 def _choose(counts: pa.Table, n_toxic: int, n_other: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, ratios): the features whose rates differ most surely, and their log-count ratios."""
+    """(place, ratios): the features whose rates differ beyond chance, and their log-count ratios.
+
+    The difference is taken in units of its standard error, whose largest value is the root of the number of rows; with
+    few rows half of that is asked for.
+    """
     bucket, toxic, other = (counts.column(c).to_numpy() for c in ("bucket", "toxic", "other"))
     pooled = (toxic + other) / max(n_toxic + n_other, 1)
     spread = np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / max(n_toxic, 1) + 1 / max(n_other, 1)), 1e-12))
     z = np.abs(toxic / max(n_toxic, 1) - other / max(n_other, 1)) / spread
     ratio = np.log((toxic + SMOOTHING * n_toxic / max(n_other, 1)) / max(n_toxic, 1)) - np.log((other + SMOOTHING) / max(n_other, 1)) if n_toxic and n_other else np.zeros(len(bucket))
-    order = np.lexsort((bucket, -z))[:MAX_FEATURES]
-    order = order[z[order] >= LEAST_Z]
+    order = np.lexsort((bucket, -z))
+    order = order[z[order] >= min(LEAST_Z, np.sqrt(n_toxic + n_other) / 2)]
     place = np.full(BUCKETS, -1, np.int32)
     place[bucket[order]] = np.arange(len(order))
     return place, ratio[order]
