@@ -255,10 +255,22 @@ def test_matches_with_others_than_the_leader(spark):
 
 
 def test_words_that_two_runs_share():
-    a = np.arange(9, dtype=np.uint64).tobytes()
-    assert substring.agreeing(a, a) == 9 and substring.agreeing(a, a[:24]) == 3 and substring.agreeing(a, b"") == 0
-    b = np.array([0, 1, 7, 3], np.uint64).tobytes()
-    assert substring.agreeing(a, b) == substring.agreeing(b, a) == 2
+    a = np.arange(9, dtype=np.uint64)
+    assert substring.agreeing(a, a) == 9 and substring.agreeing(a, a[:3]) == 3 and substring.agreeing(a, a[:0]) == 0
+    b = np.array([0, 1, 7, 3], np.uint64)
+    assert substring.agreeing(a, b) == substring.agreeing(b, a) == 2 and substring.agreeing(a[1:], a) == 0
+
+
+def test_every_window_belongs_to_its_leftmost_smallest_gram():
+    rng = np.random.default_rng(19)
+    for top in (3, 1000, 2**63):
+        words = rng.integers(0, top, 150).astype(np.uint64)
+        places, _ = substring.anchors(words, 20, 5)
+        grams = substring.run_hashes(words, 5)
+        first, last = substring.owned(grams, places, 16, 131)
+        got = {s: int(p) for p, a, b in zip(places, first, last) for s in range(a, b + 1)}
+        assert got == {s: s + int(grams[s : s + 16].argmin()) for s in range(131)}
+        assert sum(max(0, int(b) - int(a) + 1) for a, b in zip(first, last)) == 131
 
 
 def test_repeats_with_null_and_repeated_ids(spark):

@@ -4,8 +4,8 @@ Seeds are winnowed anchors: of every WINDOW - GRAM + 1 consecutive word GRAM-gra
 kept, so that two documents which share WINDOW consecutive words keep the same anchor within them. Documents are
 joined on their anchors: every occurrence meets its anchor's leader, the first occurrence in the smallest document,
 so that a passage which very many documents share costs a row for each of them, not one for each pair. From the
-anchor the match with the leader is extended word by word both ways, as far as a window around the anchor can reach,
-and a maximal match of WINDOW words or more is repeated. Where a match ends before that, another document may share
+anchor the match with the leader is extended word by word both ways, as far as the windows reach whose smallest gram
+the anchor is (equal windows have the same), and a maximal match of WINDOW words or more is repeated. Where a match ends before that, another document may share
 more than the leader does: the windows beyond the maximal match meet those of the other occurrences of the anchor by
 a 128-bit hash, reduced to their smallest document. What is cut is the union of all repeats.
 """
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.scratch import stash
+from tracewright.scratch import discard, stash
 
 WINDOW = 50
 GRAM = 10
@@ -30,6 +30,8 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 _BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
+_LARGEST = np.uint64((1 << 64) - 1)
+_NONE = np.zeros(0, np.int64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -102,67 +104,77 @@ def _surveyed(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return _identified(docs, "doc_id").mapInArrow(per_batch, "doc_id long, ord long, digest binary, n_words long, full_sha256 string, anchors array<long>, places array<int>")
 
 
-def _occurrences(seeded: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, ord, digest, place, before, after) per occurrence of a shared anchor: its hashed words as far as a window reaches, as 64-bit numbers, those before it backwards."""
-    reach = window - gram
+def owned(grams: np.ndarray, places: np.ndarray, span: int, n_windows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) start of the windows of `span` grams whose leftmost smallest gram stands at each of `places`; first > last for none.
 
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ords, digests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for ord_, digest, text, anchors_, places in zip(ords, digests, *(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                hashes = word_hashes(words_of(text))
-                before = [hashes[max(p - reach, 0) : p][::-1].tobytes() for p in places]
-                after = [hashes[p : p + window].tobytes() for p in places]
-                n = len(places)
-                columns = [pa.array(anchors_, pa.int64()), pa.array(np.full(n, ord_, np.int64)), pa.array([digest] * n, pa.binary()), pa.array(places, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "ord", "digest", "place", "before", "after"])
+    Equal windows have it at the same place within them, so that each window need be looked at from that anchor alone.
+    """
+    padded = np.concatenate((np.full(span - 1, _LARGEST), grams, np.full(span - 1, _LARGEST)))
+    around = np.lib.stride_tricks.sliding_window_view(padded, 2 * span - 1)[places]
+    own, steps = grams[places][:, None], np.arange(1, span)
+    held = (around[:, : span - 1][:, ::-1] <= own) & (steps <= places[:, None])
+    smaller = around[:, span:] < own
+    before = np.where(held.any(axis=1), held.argmax(axis=1), span - 1)  # grams before it that may be in the window
+    after = np.where(smaller.any(axis=1), smaller.argmax(axis=1), span - 1)
+    return np.maximum(places - before, 0), np.minimum(np.minimum(places, places + after - span + 1), n_windows - 1)
 
-    return seeded.select("ord", "digest", "_text", "anchors", "places").mapInArrow(per_batch, "anchor long, ord long, digest binary, place int, before binary, after binary")
 
+def _occurrences(seeded: DataFrame, window: int, gram: int) -> DataFrame:
+    """(anchor, ord, digest, back, words, places): the hashed words of all windows that an anchor stands for, `back` of
+    them before it, and the places where a document has these words around the anchor."""
 
-def agreeing(a: bytes, b: bytes) -> int:
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ord_, digest, text, anchors_, places in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes, at = word_hashes(words_of(text)), np.array(places, np.int64)
+                first, last = owned(run_hashes(hashes, gram), at, window - gram + 1, len(hashes) - window + 1)
+                rows: dict[tuple, list[int]] = {}
+                for anchor, place, low, high in zip(anchors_, places, first.tolist(), last.tolist()):
+                    if low <= high:
+                        rows.setdefault((anchor, place - low, hashes[low : high + window].tobytes()), []).append(place)
+                if rows:
+                    anchor, back, words = zip(*rows)
+                    n = len(rows)
+                    columns = [pa.array(anchor, pa.int64()), pa.array(np.full(n, ord_, np.int64)), pa.array([digest] * n, pa.binary()), pa.array(back, pa.int32()), pa.array(words, pa.binary()), pa.array(list(rows.values()), pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["anchor", "ord", "digest", "back", "words", "places"])
+
+    return seeded.select("ord", "digest", "_text", "anchors", "places").mapInArrow(per_batch, "anchor long, ord long, digest binary, back int, words binary, places array<int>")
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     """How many words two runs share from their start on."""
-    n = min(len(a), len(b)) // 8
-    if a[: 8 * n] == b[: 8 * n]:
-        return n
-    x, y = np.frombuffer(a, np.uint64, n), np.frombuffer(b, np.uint64, n)
-    return int(np.argmax(x != y))
+    n = min(len(a), len(b))
+    differ = a[:n] != b[:n]
+    at = int(differ.argmax()) if n else 0
+    return at if n and differ[at] else n
 
 
 def _extended(met: DataFrame, window: int) -> DataFrame:
-    """(anchor, ord, digest, first, until, h1, h2, starts): the maximal match of each occurrence with its leader, null
-    where it is shorter than a window or of the leader's own document; and the windows around the anchor beyond it."""
+    """(ord, digest, places, first, until, h1, h2, starts), all relative to the anchor's places: the maximal match with the
+    leader, null where it is shorter than a window or of the leader's own document; and the windows beyond it."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, until, hashes, starts = [], [], ([], []), []
-            lists = [batch.column(i).to_pylist() for i in (1, 3, 4, 5, 6, 7, 8)]
-            for ord_, place, before, after, lead_ord, lead_before, lead_after in zip(*lists):
-                left, right = agreeing(before, lead_before), agreeing(after, lead_after)
+            for ord_, back, words, lead_ord, lead_back, lead_words in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5, 6, 7))):
+                own, lead = np.frombuffer(words, np.uint64), np.frombuffer(lead_words, np.uint64)
+                left, right = agreeing(own[:back][::-1], lead[:lead_back][::-1]), agreeing(own[back:], lead[lead_back:])
                 whole = left + right >= window
                 tells = whole and ord_ > lead_ord
-                first.append(place - left if tells else None)
-                until.append(place + right if tells else None)
-                n_before = len(before) // 8
-                n = n_before + len(after) // 8
-                from_, count = place - n_before, n - window + 1
-                beyond = np.ones(max(count, 0), bool)
+                first.append(-left if tells else None)
+                until.append(right if tells else None)
+                beyond = np.ones(len(own) - window + 1, bool)
                 if whole:  # windows within the match are settled
-                    beyond[n_before - left : n_before + right - window + 1] = False
+                    beyond[back - left : back + right - window + 1] = False
                 at = np.flatnonzero(beyond)
-                if len(at):
-                    words = np.concatenate((np.frombuffer(before, np.uint64)[::-1], np.frombuffer(after, np.uint64)))
-                    for which in (0, 1):
-                        hashes[which].append(run_hashes(words, window, which)[at].view(np.int64))
-                else:
-                    for which in (0, 1):
-                        hashes[which].append(np.zeros(0, np.int64))
-                starts.append((at + from_).astype(np.int32))
+                for which in (0, 1):
+                    hashes[which].append(run_hashes(own, window, which)[at].view(np.int64) if len(at) else _NONE)
+                starts.append((at - back).astype(np.int32))
             listed = [pa.array(h, pa.list_(pa.int64())) for h in hashes]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(first, pa.int32()), pa.array(until, pa.int32()), *listed, pa.array(starts, pa.list_(pa.int32()))], ["anchor", "ord", "digest", "first", "until", "h1", "h2", "starts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(first, pa.int32()), pa.array(until, pa.int32()), *listed, pa.array(starts, pa.list_(pa.int32()))], ["ord", "digest", "places", "first", "until", "h1", "h2", "starts"])
 
-    columns = ("anchor", "ord", "digest", "place", "before", "after", "lead_ord", "lead_before", "lead_after")
-    return met.select(*columns).mapInArrow(per_batch, "anchor long, ord long, digest binary, first int, until int, h1 array<long>, h2 array<long>, starts array<int>")
+    columns = ("ord", "digest", "places", "back", "words", "lead_ord", "lead_back", "lead_words")
+    return met.select(*columns).mapInArrow(per_batch, "ord long, digest binary, places array<int>, first int, until int, h1 array<long>, h2 array<long>, starts array<int>")
 
 
 def _cut(affected: DataFrame, with_text: bool) -> DataFrame:
@@ -193,16 +205,18 @@ def _found(docs: DataFrame, window: int, gram: int, with_text: bool) -> DataFram
     seeds = grams.join(shared, "anchor").groupBy("ord", "digest").agg(F.collect_set(F.struct("anchor", "place")).alias("seeds"))
     seeded = _identified(docs).join(seeds, ["ord", "digest"]).select("ord", "digest", "_text", F.col("seeds.anchor").alias("anchors"), F.col("seeds.place").alias("places"))
     occurring = stash(_occurrences(seeded, window, gram), "occurrences")
-    leader = F.min(F.struct("ord", "digest", "place", "before", "after")).alias("lead")
-    leaders = stash(occurring.groupBy("anchor").agg(leader).select("anchor", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("ord", "digest", "place", "before", "after")]), "leaders")
-    met = occurring.join(leaders, "anchor").where("ord != lead_ord or digest != lead_digest or place != lead_place")
+    leader = F.min(F.struct("ord", "digest", "back", "words")).alias("lead")
+    leaders = stash(occurring.groupBy("anchor").agg(leader).select("anchor", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("ord", "digest", "back", "words")]), "leaders")
+    met = occurring.join(leaders, "anchor").where("ord != lead_ord or digest != lead_digest or back != lead_back or words != lead_words")
     extended = stash(_extended(met, window), "extended")
-    repeated = extended.where("first is not null").select("ord", "digest", "first", "until")
-    beyond = extended.where(F.size("starts") > 0).select("ord", "digest", F.explode(F.arrays_zip("h1", "h2", "starts")).alias("w"))
-    beyond = beyond.select("ord", "digest", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"), F.col("w.starts").alias("start"))
+    discard(occurring)
+    discard(leaders)
+    repeated = extended.where("first is not null").select("ord", "digest", F.explode("places").alias("place"), "first", "until")
+    beyond = extended.where(F.size("starts") > 0).select("ord", "digest", "places", F.explode(F.arrays_zip("h1", "h2", "starts")).alias("w"))
+    beyond = beyond.select("ord", "digest", "places", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"), F.col("w.starts").alias("start"))
     earliest = stash(beyond.groupBy("h1", "h2").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select("h1", "h2", "low"), "earliest")
-    others = beyond.join(earliest, ["h1", "h2"]).where("ord > low").select("ord", "digest", F.col("start").alias("first"), (F.col("start") + window).alias("until"))
-    runs = repeated.unionByName(others).groupBy("ord", "digest").agg(F.collect_set(F.struct("first", "until")).alias("runs"))
+    others = beyond.join(earliest, ["h1", "h2"]).where("ord > low").select("ord", "digest", F.explode("places").alias("place"), F.col("start").alias("first"), (F.col("start") + window).alias("until"))
+    runs = repeated.unionByName(others).groupBy("ord", "digest").agg(F.collect_set(F.struct((F.col("place") + F.col("first")).alias("first"), (F.col("place") + F.col("until")).alias("until"))).alias("runs"))
     affected = _identified(docs).join(runs, ["ord", "digest"]).select("ord", "digest", "_text", F.col("runs.first").alias("first"), F.col("runs.until").alias("until"))
     cut = _cut(affected, with_text).dropDuplicates(["ord", "digest"])
     told = survey.select("doc_id", "ord", "digest", "n_words", "full_sha256")
