@@ -89,13 +89,20 @@ def rot13(text: Column) -> Column:
     return F.translate(text, plain, turned)
 
 
-def shell_normal(text: Column, rounds: int = 20) -> Column:
-    """Quotes between word characters dropped until none is left, at most `rounds` times, then the field separator variable as a space.
+# What a shell drops or splits at.
+EMPTY_QUOTES = r"(?<=[A-Za-z0-9_])(['\"])\1(?=[A-Za-z0-9_])"
+SINGLE_QUOTE = r"(?<=[A-Za-z0-9_])['\"](?=[A-Za-z0-9_])"
+FIELD_SEPARATOR = r"\$\{?IFS\}?(?:\$\d)?"
 
-    A pass drops empty pairs and then single quotes, and a lookaround is not consumed, so one pass leaves a quote
-    between word characters only where several quotes stood in a row: a pair inside a pair takes a pass each.
+
+def shell_tricked(text: Column) -> Column:
+    """Whether `shell_normal` changes a text."""
+    return F.regexp_like(text, F.lit(f"{EMPTY_QUOTES}|{SINGLE_QUOTE}|{FIELD_SEPARATOR}"))
+
+
+def shell_normal(text: Column) -> Column:
+    """Quotes between word characters dropped, then the field separator variable as a space.
+
+    Empty pairs go before single quotes, and a lookaround is not consumed, so that one pass leaves nothing for a second.
     """
-    out = text
-    for _ in range(min(rounds, 6)):
-        out = F.regexp_replace(F.regexp_replace(out, r"(?<=[A-Za-z0-9_])(['\"])\1(?=[A-Za-z0-9_])", ""), r"(?<=[A-Za-z0-9_])['\"](?=[A-Za-z0-9_])", "")
-    return F.regexp_replace(out, r"\$\{?IFS\}?(?:\$\d)?", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, EMPTY_QUOTES, ""), SINGLE_QUOTE, ""), FIELD_SEPARATOR, " ")

@@ -9,7 +9,6 @@ import ast
 import base64
 import binascii
 import codecs
-import gzip
 import re
 import unicodedata
 import urllib.parse
@@ -25,6 +24,7 @@ from tracewright.functions import text as T
 # Candidate shapes, depth, least lengths, the words that make a rotation credible.
 MAX_DEPTH = 4
 LEAST_CHARS = 16
+MAX_INFLATED = 8_000_000  # our own bound, four times what is scanned of a file
 BASE64 = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/=])"
 HEX = r"(?<![0-9a-fA-F])(?:[0-9a-fA-F]{2}){10,}(?![0-9a-fA-F])"
 PERCENT = r"(?:%[0-9a-fA-F]{2}){4,}"
@@ -46,11 +46,16 @@ def readable(data: bytes) -> str | None:
     return out if out.isprintable() or "\n" in out else None
 
 
-def inflated(data: bytes) -> str | None:
-    for inflate in (zlib.decompress, gzip.decompress):
+def inflated(data: bytes, most: int = MAX_INFLATED) -> str | None:
+    """Compressed UTF-8 text of at most `most` bytes; more than that is not unpacked, so that a small input cannot fill a worker."""
+    for form in (zlib.MAX_WBITS, zlib.MAX_WBITS | 16):
+        unpack = zlib.decompressobj(form)
         try:
-            out = inflate(data).decode("utf-8")
-        except (zlib.error, OSError, EOFError, UnicodeDecodeError):
+            raw = unpack.decompress(data, most + 1)
+            if len(raw) > most or not unpack.eof:
+                continue
+            out = raw.decode("utf-8")
+        except (zlib.error, UnicodeDecodeError):
             continue
         if out:
             return out

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as T
@@ -27,9 +27,10 @@ def guarded(rule: Rule, lower: Column) -> Column:
 
 
 def _spans(rule: Rule, text: Column, lower: Column) -> Column:
-    """Null where nothing can match; else the rule's number, its matches and the gaps around them."""
-    found = F.struct(F.lit(RULE_ORD[rule.rule_id]).alias("rule_ord"), F.regexp_extract_all(text, F.lit(rule.java), F.lit(0)).alias("hits"), F.split(text, rule.java, -1).alias("gaps"))
-    return F.when(guarded(rule, lower), F.when(F.regexp_like(text, F.lit(rule.java)), found))
+    """Null where nothing matches; else the rule's number, its matches and the gaps around them. The gaps are taken only where something matched."""
+    found = F.when(guarded(rule, lower), F.regexp_extract_all(text, F.lit(rule.java), F.lit(0)))
+    told = lambda hits: F.when(F.size(hits) > 0, F.struct(F.lit(RULE_ORD[rule.rule_id]).alias("rule_ord"), hits.alias("hits"), F.split(text, rule.java, -1).alias("gaps")))
+    return F.get(F.transform(F.array(found), told), F.lit(0))
 
 
 def rule_table(spark) -> DataFrame:
@@ -70,22 +71,24 @@ def shell_rescan(layers: DataFrame) -> DataFrame:
     A match on a line where the raw text has the same rule's match already is not told again.
     """
     rules = [r for r in RULES if r.detector == SHELL]
-    normal = layers.withColumn("_normal", T.shell_normal(F.col("text"))).where(F.col("_normal") != F.col("text"))
     key = ["pkg_id", "path", "layer_ord"]
-    raw = matches(normal, rules).select(*key, "rule_ord", "start_line").distinct()
-    anew = matches(normal, rules, "_normal").join(raw, [*key, "rule_ord", "start_line"], "left_anti").join(F.broadcast(rule_table(layers.sparkSession).drop("lang")), "rule_ord")
-    recovered = anew.select(
-        *key, "detector", "detector_ord", (F.col("rule_ord") + 1000).alias("rule_ord"), "match_ord", "rule_id", "capability", "severity", F.lit(0.5).alias("confidence"),
+    tricked = layers.where(T.shell_tricked(F.col("text")))
+    both = tricked.select(*[c for c in layers.columns if c != "text"], F.posexplode(F.array("text", T.shell_normal(F.col("text")))).alias("_normal", "text"))
+    on_line = Window.partitionBy(*key, "rule_ord", "start_line")
+    found = matches(both, rules).drop("text").withColumn("_first", F.min("_normal").over(on_line)).where("_first = 1")
+    anew = found.join(F.broadcast(rule_table(layers.sparkSession).drop("lang")), "rule_ord")
+    recovered = F.struct(
+        (F.col("rule_ord") + 1000).alias("rule_ord"), "match_ord", "rule_id", "capability", "severity", F.lit(0.5).alias("confidence"),
         on_lines(F.col("start_line")).alias("start_line"), on_lines(F.col("end_line")).alias("end_line"), T.evidence(F.col("hit")).alias("matched_text"), F.concat("provenance", F.array(F.lit("shell-deobfuscated"))).alias("provenance"),
     )
-    named = F.concat(F.lit("quote-splitting / $IFS obfuscation constructing: "), F.array_join(F.array_sort(F.collect_set("rule_id")), ", "))
-    each = anew.groupBy(*key, "detector", "detector_ord", "line_offset", "anchor_line", "provenance").agg(named.alias("matched_text"))
+    each = anew.groupBy(*key, "detector", "detector_ord", "line_offset", "anchor_line", "provenance").agg(F.collect_list(recovered).alias("_found"), F.array_sort(F.collect_set("rule_id")).alias("_rules"))
     line = on_lines(F.lit(1))
-    summary = each.select(
-        *key, "detector", "detector_ord", F.lit(2000).alias("rule_ord"), F.lit(0).alias("match_ord"), F.lit("SC-SH12").alias("rule_id"), F.lit("obfuscation").alias("capability"), F.lit("medium").alias("severity"), F.lit(0.7).alias("confidence"),
-        line.alias("start_line"), line.alias("end_line"), "matched_text", "provenance",
+    summary = F.struct(
+        F.lit(2000).alias("rule_ord"), F.lit(0).alias("match_ord"), F.lit("SC-SH12").alias("rule_id"), F.lit("obfuscation").alias("capability"), F.lit("medium").alias("severity"), F.lit(0.7).alias("confidence"),
+        line.alias("start_line"), line.alias("end_line"), F.concat(F.lit("quote-splitting / $IFS obfuscation constructing: "), F.array_join("_rules", ", ")).alias("matched_text"), F.col("provenance").alias("provenance"),
     )
-    return recovered.unionByName(summary)
+    # The findings of one layer, whose number its text bounds.
+    return each.select(*key, "detector", "detector_ord", F.explode(F.concat("_found", F.array(summary))).alias("f")).select(*key, "detector", "detector_ord", "f.*").select(*FINDING_COLUMNS)
 
 
 def _named_characters(layers: DataFrame, names: dict[str, str], rule_id: str, severity: str, confidence: float, order: int) -> DataFrame:
