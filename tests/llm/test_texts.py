@@ -171,7 +171,7 @@ def test_ratios_and_fit_against_a_plain_computation(spark):
         assert ratios[place[bucket]] == pytest.approx(np.log((c1 + s1) / n1) - np.log((c0 + s0) / n0))
     rows, features = toxicity._found([t for t, _ in texts], place)
     y = np.array([y for _, y in texts], float)
-    weights, bias = toxicity._fit(rows, features, y, ratios, steps=20_000)
+    weights, bias = toxicity._fit(np.searchsorted(rows, np.arange(len(y) + 1)), features, y, ratios, steps=20_000)
     scaled = np.zeros((len(texts), len(ratios)))
     scaled[rows, features] = ratios[features]
     error = 1 / (1 + np.exp(-(scaled @ (weights / ratios) + bias))) - y

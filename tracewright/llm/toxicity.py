@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -26,6 +27,7 @@ LEAST_Z = 5.0
 SMOOTHING = 4.0
 RIDGE = 2.0
 CHARS_AT_ONCE = 1 << 21
+HITS_AT_ONCE = 1 << 20
 THRESHOLD = 0.3
 
 
@@ -117,28 +119,45 @@ def _choose(counts: pa.Table, n_toxic: int, n_other: int) -> tuple[np.ndarray, n
     return place, ratio[order]
 
 
-def _fit(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, ratios: np.ndarray, ridge: float = RIDGE, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Logistic regression on ratio-scaled presences by accelerated gradient steps; (weights with ratios, bias)."""
+def _fit(starts: np.ndarray, features: np.ndarray, labels: np.ndarray, ratios: np.ndarray, ridge: float = RIDGE, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Logistic regression on ratio-scaled presences by accelerated gradient steps; (weights with ratios, bias).
+
+    Row i has the features from starts[i] up to starts[i + 1]. Rows are taken in blocks, so that beside the features
+    themselves only a block's worth of numbers is held.
+    """
     n, k = len(labels), len(ratios)
     if not n:
         return np.zeros(k), -2.0
     base = (labels.sum() + 1) / (n + 2)
     weights, bias = np.zeros(k), float(np.log(base / (1 - base)))
-    if not len(rows):
+    if not len(features):
         return weights, bias
-    values = ratios[features]
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], HITS_AT_ONCE), side="left").clip(0, n), [0, n]))
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        scaled, out = w * ratios, np.zeros(n)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            of_row = np.repeat(np.arange(b - a), np.diff(starts[a : b + 1]))
+            out[a:b] = np.bincount(of_row, scaled[features[starts[a] : starts[b]]], b - a)
+        return out
+
+    def back(error: np.ndarray) -> np.ndarray:
+        out = np.zeros(k)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            out += np.bincount(features[starts[a] : starts[b]], np.repeat(error[a:b], np.diff(starts[a : b + 1])), k)
+        return out * ratios
+
     # A bound of the largest eigenvalue of X'X, by a few power steps.
     v = np.ones(k) / np.sqrt(max(k, 1))
     for _ in range(12):
-        u = np.bincount(rows, values * v[features], n)
-        v = np.bincount(features, values * u[rows], k)
+        v = back(sums(v))
         norm = np.linalg.norm(v)
         v /= max(norm, 1e-12)
     rate = 1 / (0.25 * (1.2 * norm + n) + ridge)
     ahead_w, ahead_b, t = weights.copy(), bias, 1.0
     for _ in range(steps):
-        error = 1 / (1 + np.exp(-np.clip(ahead_b + np.bincount(rows, values * ahead_w[features], n), -40, 40))) - labels
-        new_w = ahead_w - rate * (np.bincount(features, values * error[rows], k) + ridge * ahead_w)
+        error = 1 / (1 + np.exp(-np.clip(ahead_b + sums(ahead_w), -40, 40))) - labels
+        new_w = ahead_w - rate * (back(error) + ridge * ahead_w)
         new_b = ahead_b - rate * error.sum()
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead_w, ahead_b = new_w + (t - 1) / after * (new_w - weights), new_b + (t - 1) / after * (new_b - bias)
@@ -146,6 +165,19 @@ def _fit(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, ratios: np.
     return weights * ratios, bias
 
 
+def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, features) of a column of 32-bit feature lists; the numbers are copied once, chunk by chunk."""
+    sizes = np.concatenate([np.zeros(1, np.int64), *[pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) // 4 for c in column.chunks]])
+    starts = np.cumsum(sizes)
+    features, at = np.empty(starts[-1], np.int32), 0
+    for chunk in column.chunks:
+        for value in chunk:
+            own = np.frombuffer(value.as_buffer(), np.int32)
+            features[at : at + len(own)] = own
+            at += len(own)
+    return starts, features
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most: int = MAX_TRAINING_ROWS) -> Model:
     """Fit on at most about `most` labelled rows of `docs` (doc_id, text) whose doc_id meets `usable`.
 
@@ -169,10 +201,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most
             yield pa.RecordBatch.from_arrays([pa.array([e.tobytes() for e in each], pa.binary()), batch.column(1)], ["features", "toxic"])
 
     held = sample.select("text", "toxic").mapInArrow(per_batch, "features binary, toxic int").orderBy("toxic", "features").toArrow()
-    hits = [np.frombuffer(b, np.int32) for b in held.column("features").to_pylist()]
-    rows = np.repeat(np.arange(len(hits)), [len(h) for h in hits]) if hits else np.zeros(0, np.int64)
-    features = np.concatenate(hits) if hits else np.zeros(0, np.int64)
-    weights, bias = _fit(rows, features, held.column("toxic").to_numpy().astype(float), ratios)
+    starts, features = _joined(held.column("features"))
+    toxic = held.column("toxic").to_numpy().astype(float)
+    del held
+    weights, bias = _fit(starts, features, toxic, ratios)
     return Model(place, weights, bias)
 
 
