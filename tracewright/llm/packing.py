@@ -20,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
 LONG_TEXT = 50_000
 MEETING = 16
+BLOCK_BYTES = 1 << 21
 
 
 @cache
@@ -168,6 +170,15 @@ def strongest_terms(ids: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> tupl
     return by_rank[first], by_rank[np.maximum.reduceat(found, starts)]
 
 
+def in_blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """`batch` in runs of rows whose values in a binary column have about `most` bytes together, one row at least."""
+    block = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        if start < end:
+            yield batch.slice(start, end - start)
+
+
 def keyed(tokens: DataFrame, frequencies: np.ndarray, mean: float, shard_tokens: int, shard_rows: int, name: str) -> DataFrame:
     """`tokens` with term, next_term and salt. A term has as many salts as the documents that hold it could fill shards."""
     kind = id_type(name)
@@ -177,10 +188,10 @@ def keyed(tokens: DataFrame, frequencies: np.ndarray, mean: float, shard_tokens:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, many = known.value
         for batch in batches:
-            if batch.num_rows:
-                each = [np.frombuffer(ids.as_buffer(), kind) for ids in batch.column(1)]
+            for part in in_blocks(batch, 1):  # the numbers of a whole batch would be many times its size
+                each = [np.frombuffer(ids.as_buffer(), kind) for ids in part.column(1)]
                 first, second = strongest_terms(np.concatenate(each), np.cumsum([len(e) for e in each]), rank)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(second), pa.array(many[first])], ["doc_id", "ids", "term", "next_term", "salts"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(first), pa.array(second), pa.array(many[first])], ["doc_id", "ids", "term", "next_term", "salts"])
 
     found = tokens.mapInArrow(per_batch, "doc_id long, ids binary, term long, next_term long, salts long")
     # A salt goes by the second term where there is one, so that near copies stay close, and by the row where there is none.
