@@ -26,8 +26,8 @@ MAX_TRAINING_ROWS = 20_000
 LEAST_Z = 5.0
 SMOOTHING = 4.0
 RIDGE = 2.0
-CHARS_AT_ONCE = 1 << 21
 HITS_AT_ONCE = 1 << 20
+TEXTS_AT_ONCE = 256
 THRESHOLD = 0.3
 
 
@@ -61,19 +61,17 @@ class Model:
 
 def _found(texts: list[str | None], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of the distinct features of each text."""
-    rows, features, at = [], [], 0
-    while at < len(texts):
-        many, chars = [], 0
-        while at < len(texts) and chars < CHARS_AT_ONCE:
-            numbers = place[gram_buckets(texts[at] or "")]
-            hits = np.unique(numbers[numbers >= 0])
-            many.append((at, hits))
-            chars += len(texts[at] or "")
-            at += 1
-        rows += [np.full(len(h), r, np.int64) for r, h in many]
-        features += [h for _, h in many]
-    empty = np.zeros(0, np.int64)
-    return np.concatenate(rows or [empty]), np.concatenate(features or [empty]).astype(np.int64)
+    each = [np.zeros(0, place.dtype)]
+    for text in texts:
+        numbers = place[gram_buckets(text or "")]
+        each.append(np.unique(numbers[numbers >= 0]))
+    return np.repeat(np.arange(-1, len(texts)), [len(e) for e in each]), np.concatenate(each).astype(np.int64)
+
+
+def _few(column: pa.Array) -> Iterator[list[str | None]]:
+    """A column's texts, TEXTS_AT_ONCE at a time: the features of a whole batch would be many times its size."""
+    for start in range(0, len(column), TEXTS_AT_ONCE):
+        yield column.slice(start, TEXTS_AT_ONCE).to_pylist()
 
 
 def probabilities(texts: list[str | None], model: Model) -> np.ndarray:
@@ -196,9 +194,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, features = _found(batch.column(0).to_pylist(), shared.value)
-            each = np.split(features.astype(np.int32), np.searchsorted(rows, np.arange(1, batch.num_rows)))
-            yield pa.RecordBatch.from_arrays([pa.array([e.tobytes() for e in each], pa.binary()), batch.column(1)], ["features", "toxic"])
+            each = []
+            for texts in _few(batch.column(0)):
+                rows, features = _found(texts, shared.value)
+                each += [e.tobytes() for e in np.split(features.astype(np.int32), np.searchsorted(rows, np.arange(1, len(texts))))]
+            yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary()), batch.column(1)], ["features", "toxic"])
 
     held = sample.select("text", "toxic").mapInArrow(per_batch, "features binary, toxic int").orderBy("toxic", "features").toArrow()
     starts, features = _joined(held.column("features"))
@@ -216,7 +216,7 @@ def scored(docs: DataFrame, model: Model, columns: list[str], name: str = "score
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = probabilities(batch.column(batch.num_columns - 1).to_pylist(), shared.value)
+            score = np.concatenate([np.zeros(0), *(probabilities(texts, shared.value) for texts in _few(batch.column(batch.num_columns - 1)))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*columns, name])
 
     return kept.mapInArrow(per_batch, schema)
