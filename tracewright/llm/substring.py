@@ -92,8 +92,8 @@ def _surveyed(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, shas, hashes, places = [], [], [], []
-            for text in batch.column(3).to_pylist():
-                words = words_of(text)
+            for text in batch.column(3):
+                words = words_of(text.as_py())
                 at, values = anchors(word_hashes(words), window, gram)
                 n_words.append(len(words))
                 shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
@@ -125,8 +125,9 @@ def _occurrences(seeded: DataFrame, window: int, gram: int) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ord_, digest, text, anchors_, places in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes, at = word_hashes(words_of(text)), np.array(places, np.int64)
+            for ord_, digest, text, anchors_, places in zip(*batch.columns):  # one row's values at a time become Python's
+                ord_, digest, anchors_, places = ord_.as_py(), digest.as_py(), anchors_.as_py(), places.as_py()
+                hashes, at = word_hashes(words_of(text.as_py())), np.array(places, np.int64)
                 first, last = owned(run_hashes(hashes, gram), at, window - gram + 1, len(hashes) - window + 1)
                 rows: dict[tuple, list[int]] = {}
                 for anchor, place, low, high in zip(anchors_, places, first.tolist(), last.tolist()):
@@ -156,8 +157,8 @@ def _extended(met: DataFrame, window: int) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, until, hashes, starts = [], [], ([], []), []
-            for ord_, back, words, lead_ord, lead_back, lead_words in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5, 6, 7))):
-                own, lead = np.frombuffer(words, np.uint64), np.frombuffer(lead_words, np.uint64)
+            for ord_, back, words, lead_ord, lead_back, lead_words in zip(*(batch.column(i).to_pylist() for i in (0, 3)), batch.column(4), *(batch.column(i).to_pylist() for i in (5, 6)), batch.column(7)):
+                own, lead = np.frombuffer(words.as_buffer(), np.uint64), np.frombuffer(lead_words.as_buffer(), np.uint64)
                 left, right = agreeing(own[:back][::-1], lead[:lead_back][::-1]), agreeing(own[back:], lead[lead_back:])
                 whole = left + right >= window
                 tells = whole and ord_ > lead_ord
@@ -181,9 +182,9 @@ def _cut(affected: DataFrame, with_text: bool) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, shas, texts = [], [], []
-            for text, first, until in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                words = words_of(text)
-                gone = covered(np.array(first, np.int64), np.array(until, np.int64), len(words))
+            for text, first, until in zip(*(batch.column(i) for i in (2, 3, 4))):
+                words = words_of(text.as_py())
+                gone = covered(np.array(first.as_py(), np.int64), np.array(until.as_py(), np.int64), len(words))
                 kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
                 removed.append(int(gone.sum()))
                 shas.append(hashlib.sha256(kept).hexdigest())
