@@ -198,9 +198,40 @@ def normal_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.normal_texts(texts).groupBy(F.array_join("techniques", "+").alias("techniques")).agg(F.count("*").alias("n"))
 
 
+def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document hidden in one or two layers of base64, as the decoder gives it back; what the texts hold themselves is decoded_layers' part."""
+    hidden = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(ENCODED_HEAD), F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"))
+    plain = lambda c: F.translate(F.base64(F.encode(c, "UTF-8")), "\r\n", "")  # noqa: E731 - Spark may break lines
+    once = plain(F.col("text"))
+    held = hidden.select(F.col("doc_id").cast("string").alias("pkg_id"), F.lit("a.txt").alias("path"), F.concat(F.lit("data:\n"), F.when(F.col("doc_id") % 2 == 0, once).otherwise(plain(once))).alias("text"))
+    found = decode.decoded_layers(held).select(F.col("pkg_id").cast("long").alias("doc_id"), F.array_join("provenance", "+").alias("chain"), F.md5("text").alias("digest"), "anchor_line")
+    return found.where(((F.col("doc_id") % 2 == 0) & (F.col("chain") == "base64")) | ((F.col("doc_id") % 2 != 0) & F.col("chain").isin("base64", "base64+base64")))
+
+
+ENCODED_HEAD = "# head of the text\n"
+ENCODED_SQL = f"""WITH t AS (SELECT doc_id, {_literal(ENCODED_HEAD)} || coalesce(text, '') || chr(10) AS text FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'base64' ELSE 'base64+base64' END AS chain, md5(text) AS digest, CAST(2 AS INT) AS anchor_line FROM t
+UNION ALL SELECT doc_id, 'base64', md5(to_base64(encode(text))), CAST(2 AS INT) FROM t WHERE doc_id % 2 != 0"""
+
+
 # documents
 
 
+def markdown_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Front matter and code blocks of documents that are made markdown: front matter before the text, two fences after it."""
+    text = F.concat(F.lit("---\nname: d"), "doc_id", F.lit("\ntools: [a]\n---\n"), F.coalesce("text", F.lit("")), F.lit("\n```python\nx = "), "doc_id", F.lit("\n```\nand\n```\nplain\n\nlines\n```\n"))
+    docs = _read(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").cast("string").alias("pkg_id"), F.lit("README.md").alias("path"), text.alias("text"))
+    tag = F.get("provenance", 0)
+    found = documents.layers(docs).where((tag == "frontmatter") | tag.startswith("code-block:"))
+    return found.select(F.col("pkg_id").cast("long").alias("doc_id"), tag.alias("tag"), "lang", "line_offset", "text")
+
+
+MARKDOWN_SQL = """WITH t AS (SELECT doc_id, 4 + len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) AS above FROM documents)
+SELECT doc_id, 'frontmatter' AS tag, NULL::VARCHAR AS lang, CAST(1 AS INT) AS line_offset, 'name: d' || doc_id || chr(10) || 'tools: [a]' || chr(10) AS text FROM t
+UNION ALL SELECT doc_id, 'code-block:python', 'python', CAST(above + 2 AS INT), 'x = ' || doc_id FROM t
+UNION ALL SELECT doc_id, 'code-block:text', NULL, CAST(above + 6 AS INT), 'plain' || chr(10) || chr(10) || 'lines' FROM t"""
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("pkg_id"), F.lit("page.md").alias("path"), F.coalesce("html", F.lit("")).alias("text"))
 
@@ -267,6 +298,19 @@ REACH_SQL = f"""WITH RECURSIVE {_PAGE_EDGES}, roots AS (SELECT pkg_id, arg_min(k
 seen AS (SELECT pkg_id, k FROM roots UNION SELECT e.pkg_id, e.dst FROM e JOIN seen ON e.pkg_id = seen.pkg_id AND e.src = seen.k)
 SELECT pkg_id, 'p' || k || '.md' AS path, CASE WHEN (pkg_id, k) IN (SELECT (pkg_id, k) FROM roots) THEN 'immediate' WHEN (pkg_id, k) IN (SELECT (pkg_id, k) FROM seen) THEN 'on-demand' ELSE 'unreachable' END AS load_stage FROM p"""
 
+
+def unreferenced_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as packages: a root that holds the whole text and, for every second one, a link to one of two scripts."""
+    docs = _read(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").cast("string").alias("pkg_id"), F.when(F.col("doc_id") % 2 == 0, F.lit("[x](scripts/a.py)\n")).otherwise(F.lit("")).alias("link"), F.coalesce("text", F.lit("")).alias("text"))
+    held = F.array(F.struct(F.lit("SKILL.md").alias("path"), F.concat("link", "text").alias("text")), F.struct(F.lit("scripts/a.py").alias("path"), F.lit("x = 1").alias("text")), F.struct(F.lit("scripts/b.sh").alias("path"), F.lit("ls").alias("text")))
+    texts = docs.select("pkg_id", F.inline(held))
+    files = packages.described(texts.select("pkg_id", "path", F.encode("text", "UTF-8").alias("content")))
+    loose = manifests.unreferenced_code(files, graph.nodes(files, graph.edges_and_unresolved(texts, files)[0]))
+    return loose.select(F.col("pkg_id").cast("long").alias("doc_id"), "path", "rule_id", "severity", "confidence", "matched_text")
+
+
+UNREFERENCED_SQL = "SELECT doc_id, p AS path, 'SC-ST5' AS rule_id, 'medium' AS severity, CAST(0.5 AS DOUBLE) AS confidence, p AS matched_text FROM documents, (VALUES ('scripts/a.py'), ('scripts/b.sh')) v(p) WHERE p = 'scripts/b.sh' OR doc_id % 2 != 0"
+
 _CAPABILITIES = ("credential_access", "exfiltration", "stage2_fetch", "obfuscation", "persistence", "anti_forensics", "agent_snooping")
 
 
@@ -291,6 +335,15 @@ def _event_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return of_files, found.select("pkg_id").distinct().select("pkg_id", F.lit("f4").alias("src"), F.lit("f1").alias("dst"))
 
 
+def unattended_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load stages after promotion: files that a structural rule says run on their own."""
+    found = _events(spark, sf_dir).withColumn("rule_id", F.when(F.col("finding_ord") % 9 == 0, F.lit("SC-ST1")).when(F.col("finding_ord") % 9 == 1, F.lit("SC-ST5")).otherwise(F.col("rule_id")))
+    return graph.promoted(_event_graph(found)[0], found).select("pkg_id", "path", "load_stage")
+
+
+UNATTENDED_SQL = f"SELECT pkg_id, path, CASE WHEN path = 'f2' OR bool_or(detector = 'structure' AND finding_ord % 9 = 0) THEN 'unattended' ELSE 'on-demand' END AS load_stage FROM ({EVENTS_SQL}) GROUP BY pkg_id, path"
+
+
 def capability_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _events(spark, sf_dir)
     of_files, edges = _event_graph(found)
@@ -479,6 +532,25 @@ def manifest_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 MANIFEST_SQL = "SELECT page_id, r AS rule_id, s AS severity, CASE WHEN m = 'SessionStart: run ' THEN m || page_id ELSE m END AS matched_text FROM pages, (VALUES ('SC-ST1', 'critical', 'SessionStart: run '), ('SC-ST1', 'high', 'Stop: x'), ('SC-ST2', 'critical', 'permissions.defaultMode = bypassPermissions'), ('SC-ST2', 'critical', 'permissions.allow: Bash'), ('SC-ST2', 'critical', 'permissions.allow: *'), ('SC-ST3', 'high', 's: npx -y'), ('SC-ST6', 'critical', 'env.FOO_BASE_URL = http://x'), ('SC-ST7', 'high', 'statusLine.command = date')) t(r, s, m) WHERE page_id % 10 != 9 UNION ALL SELECT page_id, 'SC-SCN1', 'medium', '<unparseable JSON>' FROM pages WHERE page_id % 10 = 9"
 
 
+def project_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as subagents with the whole text, packages with install scripts, and projects with a build backend of their own or a known one."""
+    docs = _read(spark, sf_dir, "documents").where("doc_id is not null").withColumn("kind", F.col("doc_id") % 4)
+    agent = F.concat(F.lit("---\nname: n"), "doc_id", F.lit("\n---\n"), F.coalesce("text", F.lit("")))
+    package = F.concat(F.lit('{"scripts": {"preinstall": "run '), "doc_id", F.lit('", "test": "x", "postinstall": " y "}}'))
+    project = F.concat(F.lit('[build-system]\nbuild-backend = "'), F.when(F.col("kind") == 2, F.concat(F.lit("own"), "doc_id")).otherwise(F.lit("hatchling.build")), F.lit('"\nbackend-path = ["."]\n'))
+    texts = docs.select(
+        F.col("doc_id").cast("string").alias("pkg_id"),
+        F.when(F.col("kind") == 0, F.lit(".claude/agents/helper.md")).when(F.col("kind") == 1, F.lit("web/package.json")).otherwise(F.lit("pyproject.toml")).alias("path"),
+        F.when(F.col("kind") == 0, agent).when(F.col("kind") == 1, package).otherwise(project).alias("text"),
+    )
+    return manifests.structure_scan(texts).select(F.col("pkg_id").cast("long").alias("doc_id"), "rule_id", "capability", "severity", "confidence", "matched_text")
+
+
+PROJECT_SQL = """SELECT doc_id, 'SC-ST4' AS rule_id, 'agent_manipulation' AS capability, 'high' AS severity, CAST(0.7 AS DOUBLE) AS confidence, 'subagent: n' || doc_id AS matched_text FROM documents WHERE doc_id % 4 = 0
+UNION ALL SELECT doc_id, 'SC-ST8', 'hidden_execution', 'critical', CAST(0.85 AS DOUBLE), unnest(['scripts.preinstall = run ' || doc_id, 'scripts.postinstall = y']) FROM documents WHERE doc_id % 4 = 1
+UNION ALL SELECT doc_id, 'SC-ST8', 'hidden_execution', 'critical', CAST(0.8 AS DOUBLE), 'build-backend = "own' || doc_id || '" (backend-path = [''.''])' FROM documents WHERE doc_id % 4 = 2"""
+
+
 # corpus
 
 
@@ -556,12 +628,16 @@ _QUERIES: dict[str, tuple[Callable, str | None]] = {
     "zero_width_strip": (zero_width_strip, ZERO_WIDTH_SQL),
     "decoded_layers": (decoded_layers, None),
     "normal_layers": (normal_layers, None),
+    "encoded_texts": (encoded_texts, ENCODED_SQL),
+    "markdown_layers": (markdown_layers, MARKDOWN_SQL),
     "comment_layers": (comment_layers, COMMENT_SQL),
     "prose_residue": (prose_residue, PROSE_SQL),
     "syntax_calls": (syntax_calls, SYNTAX_SQL),
     "link_graph": (link_graph, LINK_SQL),
     "unresolved_references": (unresolved_references, UNRESOLVED_SQL),
     "reachability": (reachability, REACH_SQL),
+    "unreferenced_scripts": (unreferenced_scripts, UNREFERENCED_SQL),
+    "unattended_files": (unattended_files, UNATTENDED_SQL),
     "capability_chains": (capability_chains, CHAIN_SQL),
     "pair_cap": (pair_cap, CAP_SQL),
     "chain_scores": (chain_scores, SCORE_SQL),
@@ -582,6 +658,7 @@ _QUERIES: dict[str, tuple[Callable, str | None]] = {
     "pinned_dependencies": (pinned_dependencies, PINNED_SQL),
     "advisory_findings": (advisory_findings, ADVISORY_SQL),
     "manifest_findings": (manifest_findings, MANIFEST_SQL),
+    "project_findings": (project_findings, PROJECT_SQL),
     "label_distribution": (label_distribution, DISTRIBUTION_SQL),
     "false_positive_rate": (false_positive_rate, RATE_SQL),
     "mutated_texts": (mutated_texts, MUTATION_SQL),
