@@ -53,14 +53,18 @@ def test_every_close_pair_is_linked(spark):
             fps.add(x)
     fps = sorted(fps)
     signed = [x - 2**64 if x >= 2**63 else x for x in fps]
-    for blocks in (2, 3, 4):
+    for blocks in (None, 2, 3, 4):
         got = {frozenset((r.src, r.dst)) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, blocks).collect()}
         want = {frozenset((signed[i], signed[j])) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4}
         assert got == want
 
 
+def test_blocks_widen_with_the_table():
+    assert [simhash.blocks_for(n) for n in (0, 1, 10**6, 10**7, 10**8, 10**9, 10**11)] == [3, 3, 3, 3, 2, 2, 2]
+
+
 def test_covering_radius_is_one():
-    for _, width, hamming in simhash.block_layout(3):
+    for _, width, hamming in [b for n in simhash.BLOCKS for b in simhash.block_layout(n)]:
         assert all(any(m.bit_count() <= 1 for m in masks) for masks in simhash.flips(width, hamming, 1))
 
 

@@ -5,13 +5,15 @@ anchors of a block are the words of a perfect Hamming code over its low 2^r - 1
 remaining bits: every value lies within the covering radius 1 of an anchor. A fingerprint is at home at its
 nearest anchor of each block and is replicated to every anchor within 1 + t // b. If x and y agree that closely
 on a block, then y has been replicated to x's home there, so comparing each anchor's visitors with those at home
-finds the pair.
+finds the pair. Fewer and wider blocks have more anchors but send a fingerprint to more of them, so that the number
+of blocks goes by the number of fingerprints; every number finds the same pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,8 @@ from tracewright.scratch import fresh, stash
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
-BLOCKS = 3
+BLOCKS = (3, 2)
+COMPARISONS_A_ROW = 50  # about what sending a fingerprint to one more anchor costs
 SEED = 42
 ROWS_AT_ONCE = 1 << 16
 
@@ -82,6 +85,19 @@ def flips(width: int, hamming: int, most: int) -> list[list[int]]:
     return out
 
 
+def blocks_for(prints: int, most: int = MAX_BITS) -> int:
+    """The number of blocks, of BLOCKS, with the least work a fingerprint: rows sent, and those at home where it is sent."""
+
+    def work(blocks: int) -> float:
+        out = 0.0
+        for _, width, hamming in block_layout(blocks):
+            visits = sum(comb(width, k) for k in range(2 + most // blocks)) / (hamming + 1)
+            out += visits * (COMPARISONS_A_ROW + prints * (hamming + 1) / (1 << width))
+        return out
+
+    return min(BLOCKS, key=work)
+
+
 def _syndrome(value: Column, hamming: int) -> Column:
     total = F.lit(0)
     for bit in range(hamming.bit_length()):
@@ -108,14 +124,15 @@ def _meetings(distinct: DataFrame, blocks: int, most: int) -> tuple[DataFrame, D
     return home[0], visit[0]
 
 
-def links(distinct: DataFrame, most: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """(src, dst) for every two fingerprints of `distinct` (fp) at most `most` bits apart."""
+def links(distinct: DataFrame, most: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
+    """(src, dst) for every two fingerprints of `distinct` (fp, a written table) at most `most` bits apart."""
+    blocks = blocks or blocks_for(distinct.count(), most)
     home, visit = _meetings(distinct, blocks, most)
     met = home.alias("h").join(visit.alias("v"), (F.col("h.anchor") == F.col("v.anchor")) & (F.col("h.fp") < F.col("v.fp")) & (F.bit_count(F.col("h.fp").bitwiseXOR(F.col("v.fp"))) <= most))
     return met.select(F.col("h.fp").alias("src"), F.col("v.fp").alias("dst"))
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) per row of `docs` (doc_id, text); component_id is the smallest doc_id reachable.
 
     Equal fingerprints are one node, so a group of copies costs one row however large it is. Null and empty texts
@@ -131,7 +148,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MAX
     return marked.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """`docs` with one row of each near-duplicate group, every column as it is.
 
     The row with the smallest doc_id stays, of several such rows one with the smallest fingerprint, a null doc_id only
