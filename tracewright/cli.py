@@ -1,4 +1,4 @@
-"""Command line: scan a folder of packages, an archive or a repository url."""
+"""Command line: scan a folder of packages, a file, an archive or a repository url."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ EXIT_CODES = {"MALICIOUS": 2, "DANGEROUS": 2, "SUSPICIOUS": 1, "UNVERIFIED": 1,
 def main(argv: list[str] | None = None) -> int:
     """Print a report for each package; the gravest label gives the exit code."""
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("source", help="folder whose children are packages, .zip or .tar(.gz), or a repository url")
+    parser.add_argument("source", help="folder whose children are packages, one file, .zip or .tar(.gz), or a repository url")
     parser.add_argument("--json", action="store_true", help="JSON instead of Markdown")
     parser.add_argument("--master", default=None)
     options = parser.parse_args(argv)
@@ -36,6 +36,8 @@ def main(argv: list[str] | None = None) -> int:
         files, refused = packages.from_archives(read.select(F.substring_index("path", "/", -1).alias("pkg_id"), "content"))
         for r in refused.toLocalIterator():
             print(f"{r.pkg_id}: refused, {r.reason}")
+    elif packages.is_file(spark, source):
+        files = packages.from_file(spark, source)
     else:
         files = packages.from_folder(spark, source)
     done = scan(files)

@@ -31,6 +31,7 @@ PERCENT = r"(?:%[0-9a-fA-F]{2}){4,}"
 TELLING = r"\b(curl|bash|import|eval|exec|http)\b"
 TAG_FIRST, TAG_LAST, TAG_CANCEL, LEAST_TAGS = 0xE0020, 0xE007E, 0xE007F, 12
 DECODED_FROM, NORMAL_FROM = 10_000, 20_000
+FAILED = "failed:"  # begins the provenance of a layer that stands for a step that failed
 
 _KINDS = (("base64", re.compile(BASE64)), ("hex", re.compile(HEX)), ("url-encode", re.compile(PERCENT)))
 _TAGS = re.compile(f"[{chr(TAG_FIRST)}-{chr(TAG_LAST)}]+{chr(TAG_CANCEL)}?")
@@ -118,9 +119,12 @@ def decoded_layers(texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for pkg_id, path, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for i, (offset, chain, out) in enumerate(spans(text)):
-                    line = text.count("\n", 0, offset) + 1
-                    rows.append({"pkg_id": pkg_id, "path": path, "layer_ord": DECODED_FROM + i, "text": out, "provenance": list(chain), "line_offset": 0, "anchor_line": line, "lang": "python" if parses_as_python(out) else None})
+                one = {"pkg_id": pkg_id, "path": path, "line_offset": 0}
+                try:
+                    found = [(text.count("\n", 0, offset) + 1, list(chain), out) for offset, chain, out in spans(text)]
+                    rows += [one | {"layer_ord": DECODED_FROM + i, "text": out, "provenance": chain, "anchor_line": line, "lang": "python" if parses_as_python(out) else None} for i, (line, chain, out) in enumerate(found)]
+                except Exception as error:  # whatever a hostile text provokes must not take down the scan
+                    rows.append(one | {"layer_ord": DECODED_FROM, "text": type(error).__name__, "provenance": [FAILED + "decode"], "anchor_line": 1, "lang": None})
             yield pa.RecordBatch.from_pylist(rows, schema=_LAYER)
 
     return texts.where(encoded_candidate(F.col("text"))).select("pkg_id", "path", "text").mapInArrow(per_batch, "pkg_id string, path string, layer_ord int, text string, provenance array<string>, line_offset int, anchor_line int, lang string")
@@ -154,12 +158,28 @@ def normal_form(text: str) -> tuple[str, list[str]]:
     return text, used
 
 
+def _form_or_failure(text: str) -> tuple[str, list[str]]:
+    try:
+        return normal_form(text)
+    except Exception as error:  # told by `failures`, the other texts go on
+        return type(error).__name__, [FAILED + "normalise"]
+
+
+def failures(lost: DataFrame) -> DataFrame:
+    """SC-SCN1 for each layer that stands for a step that failed on a file."""
+    step = F.expr(f"substring(provenance[0], {len(FAILED) + 1})")
+    return lost.select(
+        "pkg_id", "path", "layer_ord", step.alias("detector"), F.lit(-1).alias("detector_ord"), F.lit(0).alias("rule_ord"), F.lit(0).alias("match_ord"), F.lit("SC-SCN1").alias("rule_id"), F.lit("unknown").alias("capability"), F.lit("medium").alias("severity"), F.lit(1.0).alias("confidence"),
+        F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.concat(step, F.lit(" failed: "), "text").alias("matched_text"), F.array().cast("array<string>").alias("provenance"),
+    )
+
+
 def normal_texts(texts: DataFrame) -> DataFrame:
     """(pkg_id, path, text, techniques) of the texts that a normal form changes. ASCII texts are their own."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms = [normal_form(t) for t in batch.column(2).to_pylist()]
+            forms = [_form_or_failure(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([f[0] for f in forms]), pa.array([f[1] for f in forms], pa.list_(pa.string()))], ["pkg_id", "path", "text", "techniques"])
 
     some = texts.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("pkg_id", "path", "text")

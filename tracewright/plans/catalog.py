@@ -15,8 +15,8 @@ from tracewright.functions import text as T
 from tracewright.functions.rules import EXTENDED, INTL, PROSE, RULES, SHELL, ZERO_WIDTH, Rule
 from tracewright.operators import decode, documents, graph, manifests, patterns, scoring, syntax, verdicts
 from tracewright.plans import evaluate
-from tracewright.plans.scan import failed_stages, integrity_findings, scan
-from tracewright.sources import packages, reports
+from tracewright.plans.scan import declared_tools, failed_stages, integrity_findings, scan
+from tracewright.sources import packages, reports, requests
 from tracewright.streaming.admission import admitted
 
 FLAGSHIP = "shell_findings_by_rule"
@@ -438,6 +438,17 @@ marked AS (SELECT *, path = 'f1' AND severity IN ('high', 'critical') AND capabi
 SELECT pkg_id, finding_ord, round(CAST(least(1.0, confidence + CASE WHEN finding_ord % 5 = 0 THEN 0.15 ELSE 0 END + CASE WHEN capability IN ('exfiltration', 'stage2_fetch') AND (finding_ord % 11 = 0 OR path = 'f3') THEN 0.25 ELSE 0 END + coalesce(gain, 0) + CASE WHEN beyond THEN 0.2 ELSE 0 END) AS DOUBLE), 6) AS confidence, CAST(coalesce(n, 0) AS INT) AS n_chains, beyond AS scope_mismatch FROM marked"""
 
 
+def front_matter_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What front matter before each document declares: under the first key, under a later one as the first is empty, or nothing."""
+    i = F.col("doc_id")
+    front = F.when(i % 3 == 0, F.concat(F.lit("---\nallowed-tools: Read d"), "doc_id", F.lit("\n---\n"))).when(i % 3 == 1, F.concat(F.lit("---\nallowed-tools: []\ntools: Web d"), "doc_id", F.lit("\nname: x\n---\n"))).otherwise(F.lit("none\n"))
+    texts = _read(spark, sf_dir, "documents").where("doc_id is not null").select(i.cast("string").alias("pkg_id"), F.lit("SKILL.md").alias("path"), F.concat(front, F.coalesce("text", F.lit(""))).alias("text"))
+    return declared_tools(texts).select("pkg_id", "tools")
+
+
+TOOLS_SQL = "SELECT CAST(doc_id AS VARCHAR) AS pkg_id, CASE doc_id % 3 WHEN 0 THEN 'read d' ELSE 'web d' END || doc_id AS tools FROM documents WHERE doc_id % 3 != 2"
+
+
 def corroboration_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What chain_scores' steps leave as notes."""
     return _corroborated_events(spark, sf_dir).select("pkg_id", "finding_ord", F.array_join("notes", "; ").alias("notes"))
@@ -562,6 +573,21 @@ def upserted_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 UPSERT_SQL = "WITH r AS (SELECT event_type || '-' || (user_id % 50) AS report_id, event_id AS scanned_at, user_id FROM events), fresh AS (SELECT report_id, max(scanned_at) AS scanned_at, arg_max(user_id, scanned_at) AS user_id FROM r WHERE scanned_at % 2 = 1 GROUP BY 1) SELECT * FROM fresh UNION ALL SELECT report_id, max(scanned_at), arg_max(user_id, scanned_at) FROM r WHERE scanned_at % 2 = 0 AND report_id NOT IN (SELECT report_id FROM fresh) GROUP BY 1"
 
 
+def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as requests to scan a text, a third of them with the caller's own key for a judge, half of which name an unknown provider."""
+    i = F.col("doc_id")
+    asked = _read(spark, sf_dir, "documents").where("doc_id is not null").select(
+        i.cast("string").alias("request_id"), F.lit("text").alias("kind"), F.when(i % 2 == 0, F.lit(" a.md ")).alias("name"), "text", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("url"),
+        (i % 5 == 0).alias("force"), F.when(i % 6 == 0, F.lit("gemini")).otherwise(F.lit("other")).alias("llm_provider"), F.when(i % 3 == 0, F.lit("key")).alias("llm_api_key"),
+    )
+    return requests.checked(asked)
+
+
+REQUEST_SQL = """WITH r AS (SELECT doc_id, text, CASE WHEN regexp_matches(coalesce(text, ''), '^\\s*$') THEN 'text is empty' WHEN doc_id % 3 = 0 AND doc_id % 6 != 0 THEN 'unknown provider' END AS reason FROM documents WHERE doc_id IS NOT NULL)
+SELECT CAST(doc_id AS VARCHAR) AS request_id, CAST(CASE WHEN reason IS NULL THEN 200 ELSE 400 END AS INT) AS status, reason, CASE WHEN reason IS NULL THEN left(sha256('1'::BLOB || '\\x00'::BLOB || encode(text)), 20) END AS address,
+  CASE WHEN doc_id % 2 = 0 THEN 'a.md' ELSE 'SKILL.md' END AS name, doc_id % 5 != 0 AND doc_id % 3 != 0 AS use_store FROM r"""
+
+
 def stored_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored reports of the ids asked for, some of which are not stored."""
     stored = latest_reports(spark, sf_dir)
@@ -773,6 +799,7 @@ _QUERIES: dict[str, tuple[Callable, str | None]] = {
     "capability_chains": (capability_chains, CHAIN_SQL),
     "pair_cap": (pair_cap, CAP_SQL),
     "chain_scores": (chain_scores, SCORE_SQL),
+    "front_matter_tools": (front_matter_tools, TOOLS_SQL),
     "corroboration_notes": (corroboration_notes, NOTES_SQL),
     "tiers": (tiers, f"SELECT {TIER_SQL} AS tier, severity, count(*) AS n FROM ({EVENTS_SQL}) GROUP BY ALL"),
     "techniques": (techniques, TECHNIQUE_SQL),
@@ -786,6 +813,7 @@ _QUERIES: dict[str, tuple[Callable, str | None]] = {
     "content_ids": (content_ids, CONTENT_SQL),
     "latest_reports": (latest_reports, LATEST_SQL),
     "upserted_reports": (upserted_reports, UPSERT_SQL),
+    "request_checks": (request_checks, REQUEST_SQL),
     "stored_lookups": (stored_lookups, LOOKUP_SQL),
     "file_kinds": (file_kinds, KINDS_SQL),
     "unwrapped_paths": (unwrapped_paths, UNWRAPPED_SQL),

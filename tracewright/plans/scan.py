@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as T
-from tracewright.operators import decode, documents, graph, manifests, patterns, scoring, syntax, verdicts
+from tracewright.functions.rules import DETECTORS
+from tracewright.operators import decode, documents, graph, judge, manifests, patterns, scoring, syntax, verdicts
 from tracewright.scratch import stash
 
+try:
+    import yaml
+except ImportError:  # then front matter is read by patterns
+    yaml = None
+
 # Order of the stages that make findings.
 CONTENT, ADVISORY, STRUCTURE, REFERENCE, SEMANTIC = range(5)
 
@@ -24,15 +32,24 @@ class Scan:
     chains: DataFrame
     ledger: DataFrame
     verdicts: DataFrame
+    modes: DataFrame | None = None
 
 
 def all_layers(texts: DataFrame) -> DataFrame:
     return documents.layers(texts).unionByName(decode.decoded_layers(texts)).unionByName(decode.normal_layers(texts))
 
 
-def content_findings(layers: DataFrame) -> DataFrame:
-    """What every detector finds in every layer."""
-    out = patterns.scan(layers)
+#: A detector of one's own: layers in, findings with patterns.FINDING_COLUMNS out.
+Detector = Callable[[DataFrame], DataFrame]
+
+
+def content_findings(layers: DataFrame, detectors: Iterable[Detector] = ()) -> DataFrame:
+    """What every detector finds in every layer, `detectors` after our own."""
+    broken = F.get("provenance", 0).startswith(decode.FAILED)
+    lost, layers = layers.where(broken), layers.where(~F.coalesce(broken, F.lit(False)))
+    out = patterns.scan(layers).unionByName(decode.failures(lost))
+    for order, detector in enumerate(detectors):
+        out = out.unionByName(detector(layers).select(*patterns.FINDING_COLUMNS).withColumn("detector_ord", F.lit(len(DETECTORS) + order)))
     for part in (patterns.shell_rescan(layers), patterns.unicode_scan(layers), syntax.syntax_scan(layers)):
         out = out.unionByName(part)
     return out
@@ -46,16 +63,40 @@ def reference_findings(unresolved: DataFrame) -> DataFrame:
     )
 
 
+TOOL_KEYS = ("allowed-tools", "allowed_tools", "tools")
+
+
+def tools_said(front: str) -> str | None:
+    """What front matter declares under the first of the keys that says something, in lower case; null where it cannot be read."""
+    try:
+        fields = yaml.safe_load(front)
+    except Exception:  # front matter that does not parse declares nothing
+        return None
+    if not isinstance(fields, dict):
+        return None
+    return next((str(fields[k]).lower() for k in TOOL_KEYS if fields.get(k)), None)
+
+
 def declared_tools(texts: DataFrame) -> DataFrame:
     """(pkg_id, path, tools): what a document's front matter declares, in lower case; the first key that says something."""
-    front = F.regexp_extract(F.regexp_replace("text", "^\ufeff", ""), documents.FRONT_MATTER, 2)
+    fronted = texts.where(documents.is_markdown(F.col("path"))).select("pkg_id", "path", F.regexp_extract(F.regexp_replace("text", "^\ufeff", ""), documents.FRONT_MATTER, 2).alias("front"))
+    named = fronted.where(F.col("front").contains("tools"))
+    if yaml is None:
+        return named.select("pkg_id", "path", _tools_by_pattern(F.col("front")).alias("tools")).where("tools is not null")
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([tools_said(f) for f in batch.column(2).to_pylist()], pa.string())], ["pkg_id", "path", "tools"])
+
+    return named.mapInArrow(per_batch, "pkg_id string, path string, tools string").where("tools is not null")
+
 
+def _tools_by_pattern(front: Column) -> Column:
     def value(key: str) -> Column:
         said = T.stripped(F.regexp_extract(front, rf"(?m)^{key}:([^\n]*(?:\n[ \t-][^\n]*)*)", 1))
         return F.when(~said.isin("", "[]", "{}", "''", '""', "null", "~", "false", "0"), F.lower(said))
 
-    tools = F.coalesce(value("allowed-tools"), value("allowed_tools"), value("tools"))
-    return texts.where(documents.is_markdown(F.col("path"))).select("pkg_id", "path", tools.alias("tools")).where("tools is not null")
+    return F.coalesce(*[value(k) for k in TOOL_KEYS])
 
 
 def numbered(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -77,17 +118,18 @@ def integrity_findings(failed: DataFrame) -> DataFrame:
     return failed.groupBy("pkg_id").agg(F.concat(F.lit("failed layers: "), named).alias("matched_text"))
 
 
-def scan(files: DataFrame, advisories: DataFrame | None = None, claims: DataFrame | None = None) -> Scan:
+def scan(files: DataFrame, advisories: DataFrame | None = None, claims: DataFrame | None = None, detectors: Iterable[Detector] = (), asked: judge.Judge | None = None) -> Scan:
     """Scan `files` (pkg_id, path, content, size, is_binary). Packages are independent; all of them go in one job.
 
-    `advisories` (ecosystem, name, version, advisory_id) and a semantic reader's `claims` are optional.
+    `advisories` (ecosystem, name, version, advisory_id) and a semantic reader's `claims` are optional. `detectors` are
+    tables of findings from layers beside our own; `asked` judges the findings in place of the fixed tiers.
     """
     read = stash(documents.texts(files), "texts")
     edges, unresolved = graph.edges_and_unresolved(read, files)
     edges, unresolved = stash(edges, "edges"), stash(unresolved, "unresolved")
     of_files = stash(graph.nodes(files, edges), "nodes")
     structural = manifests.structure_scan(read).unionByName(manifests.unreferenced_code(files, of_files))
-    staged = [(CONTENT, content_findings(stash(all_layers(read), "layers"))), (STRUCTURE, structural), (REFERENCE, reference_findings(unresolved))]
+    staged = [(CONTENT, content_findings(stash(all_layers(read), "layers"), detectors)), (STRUCTURE, structural), (REFERENCE, reference_findings(unresolved))]
     if advisories is not None:
         staged.append((ADVISORY, manifests.advisory_scan(read, advisories)))
     raw = None
@@ -102,7 +144,7 @@ def scan(files: DataFrame, advisories: DataFrame | None = None, claims: DataFram
     of_files = stash(graph.promoted(of_files, found), "staged")
     chained = stash(graph.chains(found, of_files, edges), "chains")
     scored = scoring.corroborated(found, read, of_files, chained, declared_tools(read))
-    tiered = scored.withColumn("tier", scoring.tier())
+    tiered, replied = judge.judged(scored, read, asked)
     failed = failed_stages(found)
     integrity = integrity_findings(failed).select(
         "pkg_id", F.lit("<scan>").alias("path"), F.lit("scan-integrity").alias("detector"), F.lit("SC-SCN1").alias("rule_id"), F.lit("unknown").alias("capability"), F.lit("medium").alias("severity"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "matched_text",
@@ -111,4 +153,4 @@ def scan(files: DataFrame, advisories: DataFrame | None = None, claims: DataFram
     final = stash(tiered.unionByName(integrity).withColumn("attack_technique", scoring.techniques()), "scored")
     entries = stash(verdicts.ledger(files, read), "ledger")
     labels = verdicts.verdicts(files.select("pkg_id"), final, edges, entries, failed)
-    return Scan(read, final, of_files, edges, chained, entries, labels)
+    return Scan(read, final, of_files, edges, chained, entries, labels, judge.modes(files, replied, asked, found))

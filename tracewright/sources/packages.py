@@ -49,6 +49,18 @@ def from_folder(spark: SparkSession, root: str) -> DataFrame:
     return described(rows.where(~F.concat(F.lit("/"), F.col("path")).contains("/.git/")))
 
 
+def from_file(spark: SparkSession, path: str) -> DataFrame:
+    """One file as a package of its own; its neighbours are not looked at."""
+    name = F.substring_index("path", "/", -1)
+    return described(spark.read.format("binaryFile").load(path).select(name.alias("pkg_id"), name.alias("path"), "content"))
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isFile()
+
+
 def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 

@@ -63,16 +63,22 @@ def nested(done: Scan) -> DataFrame:
     findings = _shown(done.findings).groupBy("pkg_id").agg(F.transform(F.sort_array(F.collect_list("_f")), lambda x: x["f"]).alias("findings"))
     chains = done.chains.groupBy("pkg_id").agg(F.sort_array(F.collect_list(F.struct("chain_ord", "chain_id", "source_rule", "sink_rule", "source_path", "sink_path", "same_file", "direct"))).alias("chains"))
     entries = done.ledger.groupBy("pkg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.split("path", "/").alias("place"), "path", "status", "bytes", "reason"))), lambda e: F.struct(e["path"].alias("path"), e["status"].alias("status"), e["bytes"].alias("bytes"), e["reason"].alias("reason"))).alias("ledger"))
-    return done.verdicts.join(findings, "pkg_id", "left").join(chains, "pkg_id", "left").join(entries, "pkg_id", "left")
+    rows = done.verdicts.join(findings, "pkg_id", "left").join(chains, "pkg_id", "left").join(entries, "pkg_id", "left")
+    return rows.withColumn("mode", F.lit(None).cast("string")) if done.modes is None else rows.join(done.modes, "pkg_id", "left")
 
 
-def as_json(done: Scan, mode: str = "deterministic") -> DataFrame:
+def _mode(given: str | None) -> Column:
+    """What a report says of its judge: the word given, else the scan's own."""
+    return F.lit(given) if given else F.coalesce("mode", F.lit("deterministic"))
+
+
+def as_json(done: Scan, mode: str | None = None) -> DataFrame:
     """(pkg_id, report): a JSON text per package."""
     rows = nested(done)
-    return rows.select("pkg_id", F.to_json(F.struct("label", "coverage_pct", "summary", F.lit(mode).alias("adjudicator_mode"), "findings", "chains", "ledger"), {"pretty": "true"}).alias("report"))
+    return rows.select("pkg_id", F.to_json(F.struct("label", "coverage_pct", "summary", _mode(mode).alias("adjudicator_mode"), "findings", "chains", "ledger"), {"pretty": "true"}).alias("report"))
 
 
-def as_markdown(done: Scan, mode: str = "deterministic") -> DataFrame:
+def as_markdown(done: Scan, mode: str | None = None) -> DataFrame:
     """(pkg_id, report): a Markdown text per package."""
     rows = nested(done)
 
@@ -92,7 +98,7 @@ def as_markdown(done: Scan, mode: str = "deterministic") -> DataFrame:
     chain = lambda c: F.concat(F.lit("- `"), c["chain_id"], F.lit("`: "), c["source_rule"], F.lit(" @ "), c["source_path"], F.when(c["same_file"], F.lit(" -> ")).otherwise(F.lit(" -> (cross-file) ")), c["sink_rule"], F.lit(" @ "), c["sink_path"])
     entry = lambda e: F.concat(F.lit("| `"), e["path"], F.lit("` | "), e["status"], F.lit(" | "), e["bytes"], F.lit(" | "), F.coalesce(e["reason"], F.lit("-")), F.lit(" |"))
     parts = [
-        F.concat(F.lit("# Scan report\n\n**Verdict: "), F.col("label"), F.lit("**\n\n"), F.col("summary"), F.lit(f"\n\n_Adjudicator mode: {mode}_\n")),
+        F.concat(F.lit("# Scan report\n\n**Verdict: "), F.col("label"), F.lit("**\n\n"), F.col("summary"), F.lit("\n\n_Adjudicator mode: "), _mode(mode), F.lit("_\n")),
         F.when(F.size("chains") > 0, F.concat(F.lit("## Capability chains\n"), F.array_join(F.transform("chains", chain), "\n"), F.lit("\n"))),
         F.concat(F.lit("## Findings\n"), F.when(F.size("findings") > 0, F.array_join(F.transform("findings", finding), "\n\n")).otherwise(F.lit("None.")), F.lit("\n")),
         F.concat(F.lit("## Coverage ledger\n\n| Path | Status | Bytes | Reason |\n|---|---|---|---|\n"), F.array_join(F.transform("ledger", entry), "\n")),
