@@ -5,9 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 _own: dict[str, str] = {}
 
 
@@ -39,11 +43,25 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once and return a DataFrame that reads the written table. Lost executors reread it instead of recomputing."""
     spark = df.sparkSession
     path = f"{root(spark)}/tracewright/{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     atexit.register(_delete_at_exit, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """What goes to Python workers is bounded in bytes meanwhile, unless the session sets a bound itself: whole texts are long, and a batch is held in the JVM and in the worker at once."""
+    if spark.conf.get(BATCH_SETTING, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a stashed table that no later step reads."""
     spark = df.sparkSession
