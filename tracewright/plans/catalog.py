@@ -758,8 +758,9 @@ RANK_SQL = f"WITH t AS (SELECT *, {TIER_SQL} AS tier FROM ({EVENTS_SQL})) SELECT
 
 
 def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 5 admitted events of a user in a day."""
-    rows = _read(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), F.unix_timestamp("ts").alias("at"))
+    """At most 5 admitted events of a user in a day. Times are whole seconds, rounded to the nearest (halves to the even one) as the SQL's cast does."""
+    second = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6))
+    rows = _read(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), second.alias("at"))
     return admitted(rows, 5, 86400.0).select("request_id", "admitted")
 
 

@@ -22,7 +22,9 @@ class Bucket:
     def __init__(self, times: list[float] | None = None, limit: int = LIMIT, window: float = WINDOW):
         self.times, self.limit, self.window = deque(times or []), limit, window
 
-    def admit(self, at: float) -> bool:
+    def admit(self, at: float | None) -> bool:
+        if at is None or at != at:  # without a time: admitted, and not counted
+            return True
         while self.times and at - self.times[0] > self.window:
             self.times.popleft()
         if len(self.times) >= self.limit:
